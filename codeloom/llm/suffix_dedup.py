@@ -313,7 +313,7 @@ def _merge(batches):
 
 
 def _strings(batches):
-    """Each string of a hot anchor's contexts by its 128-bit hash."""
+    """Each string of a hot anchor's contexts by its 128-bit hash. x tells places of one periodic text apart."""
     h128 = xxhash.xxh3_128_digest
     for batch in batches:
         for anchor, doc_id, text_hash, at, n, pre, post in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_hash", "at", "n", "pre", "post"))):
@@ -321,7 +321,7 @@ def _strings(batches):
             xs = [x for x in range(BEFORE + 1) if x <= p and p - x + LENGTH <= len(whole)]
             if xs:
                 k = len(xs)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * k, pa.int64()), pa.array([h128(whole[p - x : p - x + LENGTH]) for x in xs], pa.binary()), pa.array([doc_id] * k, pa.int64()), pa.array([text_hash] * k, pa.int64()), pa.array([at - x for x in xs], pa.int32()), pa.array([n] * k, pa.int64())], names=["anchor", "string", "doc_id", "text_hash", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * k, pa.int64()), pa.array(xs, pa.int32()), pa.array([h128(whole[p - x : p - x + LENGTH]) for x in xs], pa.binary()), pa.array([doc_id] * k, pa.int64()), pa.array([text_hash] * k, pa.int64()), pa.array([at - x for x in xs], pa.int32()), pa.array([n] * k, pa.int64())], names=["anchor", "x", "string", "doc_id", "text_hash", "start", "n"])
 
 
 def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -341,9 +341,9 @@ def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     read = written(map_arrow(texts, _read_contexts, _CONTEXT), "contexts")
     runs = map_arrow(read.filter("not hot").select("anchor", "doc_id", "text_hash", "at", "n", "pre", "post", "bucket"), _make_runs, _RUN)
     merged = map_arrow(runs.repartition("bucket").sortWithinPartitions("bucket"), _merge, _SPAN)
-    strings = map_arrow(read.filter("hot").select("anchor", "doc_id", "text_hash", "at", "n", "pre", "post"), _strings, "anchor long, string binary, doc_id long, text_hash long, start int, n long")
-    often = strings.groupBy("anchor", "string").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", "string")
-    counted = strings.filter("n = 1").join(often, ["anchor", "string"]).select("doc_id", "text_hash", "start", (F.col("start") + LENGTH).alias("end"))
+    strings = map_arrow(read.filter("hot").select("anchor", "doc_id", "text_hash", "at", "n", "pre", "post"), _strings, "anchor long, x int, string binary, doc_id long, text_hash long, start int, n long")
+    often = strings.groupBy("anchor", "x", "string").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", "x", "string")
+    counted = strings.filter("n = 1").join(often, ["anchor", "x", "string"]).select("doc_id", "text_hash", "start", (F.col("start") + LENGTH).alias("end"))
     return settled.unionByName(merged).unionByName(counted)
 
 
