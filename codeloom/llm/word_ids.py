@@ -8,7 +8,6 @@ for which that split is not proven (special strings, text that is not NFC, a cap
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 
 import numpy as np
@@ -17,12 +16,13 @@ from codeloom.llm._shared import vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-MEMO_CHUNKS = 700_000
+#: A memo that is larger than this keeps its short chunks, the frequent ones, only.
+MEMO_CHUNKS, SHORT_CHUNK = 1_100_000, 7
 LONG_CHUNK = 64
 
 _encoders: dict[str, WordEncoder] = {}
-_CHUNKS = re.compile("[ \n]+")
-_LAST_MARK = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n]|\Z)")
+#: Marks that end a word without joining it; control characters that str.split() takes for white space and the tokenizer doesn't.
+_MARKS, _NOT_BLANK = frozenset(".,;:!?"), ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordEncoder:
@@ -43,14 +43,20 @@ class WordEncoder:
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.memo: dict[str, bytes] = {}
+        self.mark_ids: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that the memo lacks. Letters only: one piece a chunk, so the ids part after each end-of-word id."""
-        plain = [x for x in chunks if x.isalpha()]
+        """Ids of chunks that the memo lacks. Letters only: one piece a chunk, so the ids part after each end-of-word id.
+        Letters and one mark: the ids of both."""
         got: dict[str, bytes] = {}
+        marked = {x for x in chunks if x[-1] in _MARKS and x[:-1].isalpha()}
+        words = {x[:-1] for x in marked}
+        words.update(x for x in chunks if x.isalpha())
+        known = self.memo
+        plain = [x for x in words if x not in known]
         for at in range(0, len(plain), 50_000):
             part = plain[at : at + 50_000]
             ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -58,8 +64,11 @@ class WordEncoder:
             if len(cuts) == len(part):
                 raw, b = ids.tobytes(), (cuts * 4).tolist()
                 got.update(zip(part, (raw[i:j] for i, j in zip([0, *b], b))))
-        rest = [x for x in chunks if x not in got]
+        rest = [x for x in (*plain, *chunks) if x not in got and x not in marked]
         got.update(zip(rest, self._library(rest)))
+        for x in marked:
+            mark = self.mark_ids.get(x[-1]) or self.mark_ids.setdefault(x[-1], self._library([x[-1]])[0])
+            got[x] = (got[x[:-1]] if x[:-1] in got else known[x[:-1]]) + mark
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -72,19 +81,22 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "Σ" in text or any(x in text for x in self.special) or not unicodedata.is_normalized("NFC", text):
+            if "Σ" in text or any(x in text for x in (*self.special, *_NOT_BLANK)) or not unicodedata.is_normalized("NFC", text):
                 odd.append(i)
             else:
-                chunked.append((i, [x for x in _CHUNKS.split(_LAST_MARK.sub(r" \1", text.lower())) if x]))
+                chunked.append((i, text.lower().split()))
         for i, ids in zip(odd, self._library([texts[i] for i in odd])):
             out[i] = ids
         memo = self.memo
         if len(memo) > MEMO_CHUNKS:
+            short = {k: v for k, v in memo.items() if len(k) <= SHORT_CHUNK}
             memo.clear()
-        missing = {x for _, chunks in chunked for x in chunks if x not in memo}
+            if len(short) <= MEMO_CHUNKS // 2:
+                memo.update(short)
+        missing = set().union(*(chunks for _, chunks in chunked)).difference(memo)
         local = self._learn(list(missing)) if missing else {}
-        memo.update((k, v) for k, v in local.items() if len(k) <= LONG_CHUNK)
-        long = {k: v for k, v in local.items() if len(k) > LONG_CHUNK}
+        long = {k: local.pop(k) for k in [k for k in local if len(k) > LONG_CHUNK]}
+        memo.update(local)
         for i, chunks in chunked:
             out[i] = b"".join([memo[x] if x in memo else long[x] for x in chunks] if long else map(memo.__getitem__, chunks))
         return out
