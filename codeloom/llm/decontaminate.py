@@ -8,8 +8,6 @@ has been counted to be small. The windows that a hit points to are then read fro
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +32,17 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return sized.select("item_id", "size", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("size")), lambda i: _joined(F.col("w"), i, F.col("size")))).alias("window")).distinct()
 
 
-def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, size, at, block (hash) of the aligned blocks for windows of `size` words."""
-    b = (size + 1) // 2
-    cut = let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - b, F.lit(b)), lambda i: F.struct(i.alias("at"), F.xxhash64(_joined(w, i, b)).alias("block")))))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(cut).alias("c")).select("doc_id", "text_hash", F.lit(size).alias("size"), "c.at", "c.block")
+def _blocks(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, text_hash, size, at, block (hash) of the aligned blocks for windows of each size; a text is parsed once."""
+    none = F.array().cast("array<struct<size:int,at:int,block:bigint>>")
+
+    def cut(w: Column, size: int) -> Column:
+        b = (size + 1) // 2
+        found = F.transform(F.sequence(F.lit(0), F.size(w) - b, F.lit(b)), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(_joined(w, i, b)).alias("block")))
+        return F.when(F.size(w) >= size, found).otherwise(none)
+
+    every = let(words_of(F.col("text")), lambda w: F.flatten(F.array(*(cut(w, n) for n in sizes))))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(every).alias("c")).select("doc_id", "text_hash", "c.size", "c.at", "c.block")
 
 
 def benchmark_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -50,8 +54,7 @@ def benchmark_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     known = broadcast_if_small(written(known, "benchmark-blocks"))
     if not sizes:
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("window")).limit(0)
-    blocks = reduce(DataFrame.unionByName, (_blocks(docs, n) for n in sorted(sizes)))
-    places = blocks.join(known, ["size", "block"]).filter(F.col("at") >= F.col("offset")).select("doc_id", "text_hash", F.struct((F.col("at") - F.col("offset")).alias("at"), "size").alias("place"))
+    places = _blocks(docs, sorted(sizes)).join(known, ["size", "block"]).filter(F.col("at") >= F.col("offset")).select("doc_id", "text_hash", F.struct((F.col("at") - F.col("offset")).alias("at"), "size").alias("place"))
     found = places.groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash")).agg(F.collect_set("place").alias("places"))
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     read = let(words_of(F.col("text")), lambda w: F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["size"].alias("size"), _joined(w, p["at"], p["size"]).alias("window"))))
