@@ -415,7 +415,7 @@ def overlap_recall(spark, sf_dir):
     return evaluation.span_recall(*_spans(spark, sf_dir))
 
 
-@query(f"WITH {_SPANS} SELECT e.path, coalesce(round(sum(CASE WHEN x.a >= e.a AND x.b <= e.b THEN 1.0 ELSE 0.0 END::DOUBLE) / count(x.a), 6), 0.0) AS validity FROM e LEFT JOIN x ON x.path = e.path GROUP BY 1")
+@query(f"WITH {_SPANS} SELECT e.path, coalesce(round(sum(CASE WHEN x.a >= e.a AND x.b <= e.b THEN 1.0 ELSE 0.0 END::DOUBLE) / nullif(count(x.a), 0), 6), 0.0) AS validity FROM e LEFT JOIN x ON x.path = e.path GROUP BY 1")
 def containment_validity(spark, sf_dir):
     o, e, x = _spans(spark, sf_dir)
     return evaluation.citation_validity(o, x.drop("position"), e)
