@@ -17,6 +17,8 @@ from codeloom.llm._shared import map_arrow
 WIDTHS, FILTERS, SPAN = (2, 3, 4), 16, 256
 #: The sample: so many rows of each language (those with the smallest hash of doc_id), and so many characters of each.
 ROWS_PER_LANGUAGE, SAMPLE_CHARS = 400, 4000
+#: Rows that are ranked for each row of the sample, about, and the hash values that doc_id is dealt to.
+SPARE, HASHES = 4, 1 << 40
 STEPS, BATCH, RATE, SEED = 700, 128, 0.01, 7
 UNKNOWN = "und"
 #: The pipeline keeps what is predicted with at least this score.
@@ -101,10 +103,16 @@ def remainder(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> ByteNet | None:
     """A network from labelled rows that are not held out; None if there are none. At most rows x languages short strings
-    are collected, wherever in the table the rows lie."""
+    are collected, wherever in the table the rows lie. Counts by language set a bound on the hash of doc_id under which
+    about SPARE x rows of each language lie, so the ranking reads as many rows however large the table is."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id")) != 2))
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # one row for each language
+    if not counts:
+        return None
+    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(HASHES, SPARE * rows * HASHES // n))))
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    short = usable.select("lang", F.xxhash64("doc_id").alias("h"), F.substring(F.col("text"), start, F.lit(chars)).alias("part"))
+    hashed = usable.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))).filter(F.col("h") < bound[F.col("lang")])
+    short = hashed.select("lang", "h", F.substring(F.col("text"), start, F.lit(chars)).alias("part"))
     first = short.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).filter(F.col("n") <= rows)
     sample = sorted((r["lang"], r["h"], r["part"]) for r in first.select("lang", "h", "part").collect())
     if not sample:
