@@ -68,6 +68,18 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_hash(column: str | Column = "text") -> Column:
+    """64 bits of the whole text: with the id, it tells rows apart whose ids are null or repeat."""
+    return F.xxhash64(whole_text(column))
+
+
+def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs joined (left_semi or left_anti) to found (doc_id, text_hash) by both; the columns of docs stay as they are."""
+    keys = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (text_hash(docs["text"]) == F.col("__hash"))
+    return docs.join(keys, same, how)
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(column, UPPER, LOWER)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import ascii_lower, broadcast_if_small, let, whole_text, written
+from codeloom.llm._shared import ascii_lower, broadcast_if_small, let, matching, whole_text, written
 
 WINDOW = 10
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,7 +64,7 @@ def benchmark_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit (words within occurrences), n_items, items (their ids as text, sorted, comma-joined), contaminated.
+    """doc_id, text_hash, n_words, n_hit (words within occurrences), n_items, items (their ids as text, sorted, comma-joined), contaminated.
 
     Null texts have no words. A null item_id adds hit words but no item. A null doc_id passes through, repeated rows count
     each, an empty table of documents gives no rows, an empty benchmark no hits; other columns are not read.
@@ -80,13 +80,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     joined = counts.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
     n = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("items"), (n > 0).alias("contaminated"))
+    return joined.select("doc_id", "text_hash", "n_words", n.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("items"), (n > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without any benchmark window."""
-    bad = decontaminate(docs, items).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    return matching(docs, decontaminate(docs, items).filter("contaminated"), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

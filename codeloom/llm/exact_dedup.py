@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import map_arrow, whole_text
+from codeloom.llm._shared import map_arrow, matching, text_hash, whole_text
 
 SLOTS, MOST_KICKS = 4, 200
 #: A task's index is emptied (its groups sent on) when it holds so many bytes of text.
@@ -169,7 +169,7 @@ def _within_bucket(batches):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, digest (SHA-256, hex), keep_id (largest id of the equal texts), group_size.
+    """One row for each row of docs: doc_id, text_hash, digest (SHA-256, hex), keep_id (largest id of the equal texts), group_size.
 
     Null text counts as the empty text. A null id is kept in its group and never stays while another id exists. Rows
     that repeat with one id count each. An empty table gives no rows. Other columns are not read.
@@ -179,13 +179,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     local = map_arrow(keyed.select("digest", "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), _within_task, schema)
     dealt = local.repartition(F.substring("digest", 1, BUCKET_HEX)).sortWithinPartitions(F.substring("digest", 1, BUCKET_HEX))
     groups = map_arrow(dealt, _within_bucket, schema).select("digest", "keep_id", F.col("n").alias("group_size"))
-    return keyed.select("doc_id", "digest").join(groups, "digest")
+    return keyed.select("doc_id", text_hash().alias("text_hash"), "digest").join(groups, "digest")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of equal texts, those with the largest doc_id."""
-    stay = exact_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    return matching(docs, exact_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))), "left_semi")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import map_arrow
+from codeloom.llm._shared import map_arrow, matching, text_hash
 
 WIDTHS, FILTERS, SPAN = (2, 3, 4), 16, 256
 #: The sample: so many rows of each language (those with the smallest hash of doc_id), and so many characters of each.
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = SAMPLE_CH
 
 
 def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """doc_id, lang_pred, score of each row of docs (doc_id, text)."""
+    """doc_id, text_hash, lang_pred, score of each row of docs (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -142,27 +142,26 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 total /= total.sum(1, keepdims=True)
                 best = total.argmax(1)
                 known = [ok and net is not None for ok in lettered]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([net.languages[b] if k else UNKNOWN for b, k in zip(best, known)]), pa.array([float(t[b]) if k else 0.0 for t, b, k in zip(total, best, known)])], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([net.languages[b] if k else UNKNOWN for b, k in zip(best, known)]), pa.array([float(t[b]) if k else 0.0 for t, b, k in zip(total, best, known)])], names=["doc_id", "text_hash", "lang_pred", "score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered), run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text", lettered), run, "doc_id long, text_hash long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row of docs (doc_id, text, lang).
+    """doc_id, text_hash, held_out, lang_pred, score of each row of docs (doc_id, text, lang).
 
     Null texts and texts without a letter get `und` with score 0, and so does everything if no row can be learned from.
     A null doc_id is neither held out nor learned from; repeated rows count each, an empty table gives no rows.
     """
     got = predict(docs, learn(docs))
-    return got.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", "text_hash", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is predicted with at least that score."""
-    kept = language_id(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    return matching(docs, language_id(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)), "left_semi")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
-    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import drop_path, map_arrow, new_path, whole_text, written
+from codeloom.llm._shared import drop_path, map_arrow, matching, new_path, text_hash, whole_text, written
 
 BITS, RADIUS, WORDS = 64, 3, 3
 SEED = 42
@@ -47,16 +47,16 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row of docs (doc_id, text)."""
+    """doc_id, text_hash, fp (the fingerprint as a signed long) of each row of docs (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 got = [fingerprint(x, words) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed(got)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), _signed(got)], names=["doc_id", "text_hash", "fp"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", text_hash().alias("text_hash"), "text"), run, "doc_id long, text_hash long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,7 +186,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id that links reach, itself included) of each row of docs.
+    """doc_id, text_hash, fp, component_id (smallest doc_id that links reach, itself included) of each row of docs.
 
     Null and empty texts have fingerprint zero and are linked like others. Rows with a null doc_id belong to their
     component but never name it, unless it has no other. Repeated rows count each, an empty table gives no rows; other
@@ -199,13 +199,12 @@ def near_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
     named = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_print = named.select("fp", "component").join(names, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay: of each component, those with its smallest doc_id."""
-    stay = near_components(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    return matching(docs, near_components(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

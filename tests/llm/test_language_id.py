@@ -64,4 +64,5 @@ def test_nulls_empty_long_repeated_and_no_labels(spark):
     none = L.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
     assert L.language_id(docs.limit(0)).count() == 0
-    assert L.known_language(docs).filter("doc_id IN (1, 2, 3)").count() == 0
+    kept = L.known_language(docs.union(spark.createDataFrame([(None, "?!", "en", 9, "x")], "doc_id long, text string, lang string, score int, lettered string")))
+    assert kept.columns == docs.columns and sorted(r["text"][:7] for r in kept.collect()) == sorted(r[1][:7] for r in rows[3:])
