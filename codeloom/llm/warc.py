@@ -196,9 +196,11 @@ def resolve_revisits(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED
 
     revisit = F.coalesce((F.col("kind") == "revisit") & F.col("profile").contains("server-not-modified"), F.lit(False))
     target = carried.filter("full").groupBy("record_id").agg(F.min(F.struct(F.array_sort(F.map_entries(F.coalesce("headers", F.expr("map()").cast("map<string,string>")))).alias("h"), "payload_sha256")).alias("t"))
-    target = target.select(F.col("record_id").alias("target_id"), F.map_from_entries("t.h").alias("t_headers"), F.col("t.payload_sha256").alias("t_sha256"))
+    target = target.select(F.col("record_id").alias("key"), F.lit(True).alias("wants"), F.map_from_entries("t.h").alias("t_headers"), F.col("t.payload_sha256").alias("t_sha256"))
     wanted = carried.withColumn("target_id", F.when(revisit & usable, F.col("before")))
-    both = wanted.join(target, "target_id", "left")
+    # rows without a target are dealt by their own id: as nulls they would all meet in one task
+    wants = F.col("target_id").isNotNull()
+    both = wanted.withColumn("key", F.when(wants, F.col("target_id")).otherwise(F.col("record_id"))).withColumn("wants", wants).join(target, ["key", "wants"], "left")
     same = F.coalesce(_same(F.col("headers")["etag"], F.col("t_headers")["etag"]), _same(F.col("headers")["last-modified"], F.col("t_headers")["last-modified"]))
     state = F.when(F.col("full"), "full").when(~revisit, "other").when(F.col("target_id").isNull(), "no_earlier").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
     both = both.withColumn("state", state)
