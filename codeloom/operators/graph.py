@@ -44,18 +44,29 @@ def reached(seeds: DataFrame, edges: DataFrame, depth: int, least: float = 0.0)
 def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int = 8, least: float = 0.0) -> DataFrame:
     """pairs (source, target): adds hops (null if unreachable, 0 if the same) and path (ids with >, least of the shortest).
 
-    Paths grow forward from the sources; a source stops growing once its target is met.
+    Paths grow by turns from the sources and back from the targets and meet at a vertex, so each side goes half the way;
+    a pair stops growing once it has met. All shortest walks are simple paths.
     """
-    kept = weighted(edges, least).select("caller", "callee")
-    frontier = pairs.filter("source <> target").select("source", "target", F.col("source").alias("at"), F.array("source").alias("path"))
+    kept = weighted(edges, least).select("caller", "callee").checkpoint()
+    apart = pairs.filter("source <> target").select("source", "target").distinct()
+    ahead = apart.select("source", "target", F.col("source").alias("at"), F.array("source").alias("path"))
+    back = apart.select("source", "target", F.col("target").alias("at"), F.array("target").alias("path"))
+
+    # the least path to a vertex, or from it, is all that a shortest path through it needs
+    def grown(side: DataFrame, here: str, there: str, path) -> DataFrame:
+        step = side.join(kept, side["at"] == kept[here]).select("source", "target", F.col(there).alias("at"), path.alias("path"))
+        return step.groupBy("source", "target", "at").agg(F.min("path").alias("path")).checkpoint()
+
     found = []
-    for _ in range(depth):
-        step = frontier.join(kept, frontier["at"] == kept["caller"]).filter(~F.array_contains("path", F.col("callee")))
-        step = step.select("source", "target", F.col("callee").alias("at"), F.concat("path", F.array("callee")).alias("path"))
-        # the least path to a vertex is all that a shortest path through it needs
-        step = step.groupBy("source", "target", "at").agg(F.min("path").alias("path"))
-        found.append(step.filter("at = target").select("source", "target", "path"))
-        frontier = step.filter("at <> target")
+    for d in range(1, depth + 1):
+        if d % 2:
+            ahead = grown(ahead, "caller", "callee", F.concat("path", F.array("callee")))
+        else:
+            back = grown(back, "callee", "caller", F.concat(F.array("caller"), "path"))
+        rest = back.select("source", "target", "at", F.slice("path", 2, F.size("path")).alias("rest"))
+        met = ahead.join(rest, ["source", "target", "at"]).groupBy("source", "target").agg(F.min(F.concat("path", "rest")).alias("path")).checkpoint()
+        found.append(met)
+        ahead, back = (side.join(met.select("source", "target"), ["source", "target"], "left_anti") for side in (ahead, back))
     best = reduce(DataFrame.unionByName, found).groupBy("source", "target").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("b"))
     joined = pairs.join(best, ["source", "target"], "left")
     same = F.col("source") == F.col("target")

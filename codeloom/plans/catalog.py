@@ -35,14 +35,19 @@ edges AS (SELECT caller, callee, line, CASE WHEN line = 1 THEN 0.9 WHEN caller %
 w AS (SELECT caller, callee, max(confidence) AS weight FROM edges GROUP BY 1, 2)"""
 
 
-def call_graph(spark, sf_dir: str) -> DataFrame:
+def ranked_calls(spark, sf_dir: str) -> DataFrame:
+    """The whole call graph: every pair of a part and one that follows it, with its place by frequency as line."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     pairs = li.select(F.col("l_partkey").alias("caller"), nxt.alias("callee")).filter("callee IS NOT NULL").groupBy("caller", "callee").count()
     line = F.row_number().over(Window.partitionBy("caller").orderBy(F.desc("count"), "callee"))
-    top = pairs.withColumn("line", line).filter("line <= 2")
     confidence = F.when(F.col("line") == 1, 0.9).when(F.col("caller") % 2 == 0, 0.7).otherwise(0.4)
-    return top.select("caller", "callee", "line", confidence.alias("confidence"))
+    return pairs.withColumn("line", line).select("caller", "callee", "line", confidence.alias("confidence"))
+
+
+def call_graph(spark, sf_dir: str) -> DataFrame:
+    """The graph of GRAPH_SQL, with at most two callees a part; the queries of whole_graph have no such bound."""
+    return ranked_calls(spark, sf_dir).filter("line <= 2")
 
 
 def parts(spark, sf_dir: str) -> DataFrame:
@@ -97,6 +102,7 @@ SELECT p.source, p.target, CAST(len(b.path) - 1 AS INTEGER) AS hops, array_to_st
 FROM pairs p LEFT JOIN best b ON b.source = p.source AND b.target = p.target AND b.n = 1"""
 )
 def shortest_path(spark, sf_dir):
+    _checkpoints(spark)
     pairs = parts(spark, sf_dir).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
     return graph.shortest_paths(pairs, call_graph(spark, sf_dir), 5)
 
