@@ -97,13 +97,19 @@ def dense_topk(queries: DataFrame, units: DataFrame, k: int = 5, metric: str = "
 def name_lookup(queries: DataFrame, symbols: DataFrame, k: int = 100) -> DataFrame:
     """query, id, rung, rank: names that contain the query, case aside; symbols: id, qualname, name.
 
-    Rungs: 0 the id itself, 1 the qualified name, 2 the name, 3 the last part of the qualified name, 4 elsewhere. Pairs
-    are found by shared trigrams of the query where it has three characters or more, so nothing is compared with all.
+    Rungs: 0 the id itself, 1 the qualified name, 2 the name, 3 the last part of the qualified name, 4 elsewhere. A query
+    of three characters or more meets the names that hold its last trigram, a shorter one those that hold it as a gram.
     """
-    q = queries.select("query", F.lower("query").alias("q")).distinct()
+    q = queries.select("query", F.lower("query").alias("q")).filter("q IS NOT NULL").distinct()
     s = symbols.withColumn("low", F.lower("qualname"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(3))))
-    hit = q.withColumn("gram", F.substring("q", -3, 3)).join(s.withColumn("gram", F.explode(grams("low"))), "gram").filter(F.contains("low", F.col("q")))
+    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("low") - (n - 1), F.lit(1))), lambda i: F.substr(F.col("low"), i, F.lit(n))))
+
+    def met(n: int) -> DataFrame:
+        own = q.filter(F.char_length("q") >= 3 if n == 3 else F.char_length("q") == n)
+        held = s.withColumn("gram", F.explode(grams(n)) if n else F.lit(""))
+        return own.withColumn("gram", F.substring("q", -3, 3)).join(held, "gram").filter(F.contains("low", F.col("q")))
+
+    hit = reduce(DataFrame.unionByName, map(met, range(4)))
     rung = F.when(F.col("id").cast("string") == F.col("query"), 0).when(F.col("qualname") == F.col("query"), 1).when(F.col("name") == F.col("query"), 2).when(F.endswith("qualname", F.concat(F.lit("."), F.col("query"))), 3).otherwise(4)
     return ranked(hit.select("query", "id", rung.alias("rung")).distinct(), "query", "rung", "id", k=k)
 
@@ -111,7 +117,15 @@ def name_lookup(queries: DataFrame, symbols: DataFrame, k: int = 100) -> DataFra
 def resolve(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     """query, rung, matches, outcome: the first rung with candidates decides; more than one there is ambiguous. A name
     that is only a part of another never wins."""
-    best = name_lookup(queries, symbols, 1_000_000).filter("rung < 4").groupBy("query", "rung").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
+    own = F.split("qualname", r"\.")
+    tails = F.transform(F.sequence(F.lit(2), F.size(own)), lambda i: F.array_join(F.slice(own, i, F.size(own)), "."))
+    key = lambda rung, name: F.struct(F.lit(rung).alias("rung"), name.alias("query"))
+    names = F.array(key(0, F.col("id").cast("string")), key(1, F.col("qualname")), key(2, F.col("name")))
+    parts = F.when(F.size(own) > 1, F.transform(tails, lambda t: key(3, t)))
+    every = symbols.select("id", F.explode(F.concat(names, F.coalesce(parts, F.array().cast("array<struct<rung:int,query:string>>")))).alias("k"))
+    # counted before queries are met, so a name of very many symbols is one row there
+    counts = every.select("k.rung", "k.query", "id").distinct().groupBy("query", "rung").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
+    best = counts.join(queries.select("query").distinct(), "query")
     first = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("rung"))).filter("n = 1")
     out = queries.select("query").distinct().join(first, "query", "left")
     return out.select("query", "rung", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id"), F.when(F.col("matches").isNull(), "not found").when(F.col("matches") > 1, "ambiguous").otherwise("found").alias("outcome"))
