@@ -1,8 +1,8 @@
 """WARC files and the resolution of not-modified revisits by an as-of join.
 
-Records are written as text lines with the record's own separators and read by splitting at the version line, so Spark's
-readers and writers do the input and output; a payload that holds a version line is put together again by its
-Content-Length.
+Records are written as text lines with the record's own separators and read by splitting at the start of a version line,
+which all versions share, so Spark's readers and writers do the input and output; a payload that holds one is put together
+again by its Content-Length.
 
 A revisit with the server-not-modified profile stands for the latest earlier full response of its canonical URL. Metadata
 (never payloads) is dealt by ranges of (canonical URL, date, record id) and sorted, so one URL with a third of all rows
@@ -22,6 +22,8 @@ from pyspark.sql.types import IntegerType, LongType, StringType
 from codeloom.llm._shared import map_arrow, new_path, shuffle_partitions, written
 
 VERSION = "WARC/1.1"
+#: What files are split at when they are read: the start of the version lines of 1.0 and 1.1.
+SPLIT = "WARC/1."
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Headers that a 304 answer may renew in the stored response.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -85,50 +87,61 @@ def _parsed(head: dict[str, str], block: bytes) -> tuple:
 _ROW = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("day", pa.string()), ("profile", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
 
-def _records(version: bytes):
-    def run(batches):
-        rows, size, pending = [], 0, None
-        for batch in batches:
-            for value in batch.column("value"):
-                raw = value.as_py()
-                pending = raw if pending is None else pending + version + raw  # the version line stood within a payload
-                top, gap, block = pending.partition(b"\r\n\r\n")
-                if not gap:
-                    if not pending.strip():
-                        pending = None
-                    continue
-                head = _fields(top.split(b"\r\n"))
-                length = int(head.get("content-length", "-1"))
-                if length < 0:
-                    raise ValueError("a record without Content-Length")
-                if len(block) < length:
-                    continue
-                rows.append(_parsed(head, block[:length]))
-                size += length
-                pending = None
-                if size > 8_000_000 or len(rows) >= 2000:
-                    yield _rows(rows)
-                    rows, size = [], 0
-        if pending is not None and pending.strip():
-            raise ValueError("the last record of a file, or of a part of one, is cut off")
-        if rows:
-            yield _rows(rows)
-
-    return run
+def _taken(pending: bytes) -> tuple[tuple | None, int, bytes | None]:
+    """The first record of pending (which starts behind SPLIT), its length and what is left behind it, None if nothing is;
+    no record if it isn't whole yet."""
+    top, gap, block = pending.partition(b"\r\n\r\n")
+    if not gap:
+        return None, 0, pending
+    version, *lines = top.split(b"\r\n")
+    if not version.isdigit():
+        raise ValueError("a record without a version line")
+    head = _fields(lines)
+    length = int(head.get("content-length", "-1"))
+    if length < 0:
+        raise ValueError("a record without Content-Length")
+    if len(block) < length:
+        return None, 0, pending
+    if block[length:].strip(b"\r\n"):
+        raise ValueError("bytes behind a record that are neither a separator nor a record")
+    return _parsed(head, block[:length]), length, None
+
+
+def _records(batches):
+    split, rows, size, pending = SPLIT.encode(), [], 0, None
+    for batch in batches:
+        for value in batch.column("value"):
+            raw = value.as_py()
+            if pending is None and not raw.strip():
+                continue  # before the first record of a file
+            pending = raw if pending is None else pending + split + raw  # the split stood within a payload
+            row, length, pending = _taken(pending)
+            if row is None:
+                continue
+            rows.append(row)
+            size += length
+            if size > 8_000_000 or len(rows) >= 2000:
+                yield _rows(rows)
+                rows, size = [], 0
+    if pending is not None:
+        raise ValueError("the last record of a file, or of a part of one, is cut off")
+    if rows:
+        yield _rows(rows)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
 
 
-def read_warc(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
-    """The records of WARC files (columns CAPTURE), compressed or not; uncompressed files are read in parts.
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files (columns CAPTURE) of versions 1.0 and 1.1, also mixed, compressed or not; uncompressed
+    files are read in parts.
 
-    Header names are lower case, repeated ones joined by commas. A record that is cut off, or without Content-Length, is
-    an error; a file without records gives no rows.
+    Header names are lower case, repeated ones joined by commas. A record that is cut off or without Content-Length, and
+    bytes that belong to no record, are an error; a file without records gives no rows.
     """
-    lines = spark.read.option("lineSep", f"{version}\r\n").text(path).select(F.col("value").cast("binary").alias("value"))
-    got = map_arrow(lines, _records(f"{version}\r\n".encode()), "record_id string, kind string, url string, day string, profile string, status int, headers map<string,string>, payload binary")
+    lines = spark.read.option("lineSep", SPLIT).text(path).select(F.col("value").cast("binary").alias("value"))
+    got = map_arrow(lines, _records, "record_id string, kind string, url string, day string, profile string, status int, headers map<string,string>, payload binary")
     return got.select("record_id", "kind", "url", F.try_to_timestamp("day").alias("date"), "profile", "status", "headers", "payload")
 
 
