@@ -1,9 +1,9 @@
 """Line deduplication with levelled sorted runs of line hashes; DataFrame operations only.
 
-Documents come in batches. A batch is aggregated to (line hash, documents, largest doc_id); a merge anti-join against
-the runs finds the lines that are new, the others are repeats. Both are added as a sorted run of their own; FAN runs of
-a level are compacted to one run of the next. At the end, the repeats' hashes and those frequent within one run are the
-only ones whose totals matter. Hashes have 128 bits. The hot line is summed before each shuffle, and the join of lines
+Documents come in batches. A batch is aggregated to (line hash, documents, largest doc_id) and added as a sorted run of
+its own; FAN runs of a level are compacted to one run of the next. At the end the sums over all runs decide which lines
+are frequent: a plain aggregation. The runs also mark repeats, and fresh() is a merge anti-join against them, but no result
+depends on either. Hashes have 128 bits. The hot line is summed before each shuffle, and the join of lines
 with frequent hashes is an equi-join that adaptive execution splits where one hash is hot.
 """
 
