@@ -80,6 +80,15 @@ def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(keys, same, how)
 
 
+def one_row(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that match found as in matching(), but one row of those that share doc_id and text.
+
+    Each task drops its own repeats before the shuffle, so a key with very many rows doesn't meet in one task.
+    """
+    keyed = matching(docs, found, "left_semi").withColumn("__own", F.sha2(whole_text("text"), 256))
+    return keyed.dropDuplicates(["doc_id", "__own"]).drop("__own")
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(column, UPPER, LOWER)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import map_arrow, matching, text_hash, whole_text
+from codeloom.llm._shared import map_arrow, one_row, text_hash, whole_text
 
 SLOTS, MOST_KICKS = 4, 200
 #: A task's index is emptied (its groups sent on) when it holds so many bytes of text.
@@ -183,8 +183,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of equal texts, those with the largest doc_id."""
-    return matching(docs, exact_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))), "left_semi")
+    """The rows of docs that stay: of equal texts, one with the largest doc_id."""
+    return one_row(docs, exact_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import drop_path, map_arrow, matching, new_path, text_hash, whole_text, written
+from codeloom.llm._shared import drop_path, map_arrow, new_path, one_row, text_hash, whole_text, written
 
 BITS, RADIUS, WORDS = 64, 3, 3
 SEED = 42
@@ -203,8 +203,8 @@ def near_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay: of each component, those with its smallest doc_id."""
-    return matching(docs, near_components(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+    """The rows of docs that stay: of each component, those with its smallest doc_id, one of each text."""
+    return one_row(docs, near_components(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
