@@ -148,7 +148,9 @@ def read_segments(spark, path: str) -> DataFrame:
         for batch in batches:
             for part, base, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "payload"))):
                 s, first = Segment(raw), firsts[part] + base
-                crcs = [zlib.crc32(s.tokens(int(a), int(b)).tobytes()) for a, b in zip(s.starts[:-1], s.starts[1:])]
+                ids = memoryview(s.tokens(0, s.n_ids)).cast("B")
+                cuts = (s.starts * 4).tolist()
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.known == 0), pa.array(first + s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_arrow(files.select("part", "base", "payload"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -8,6 +8,7 @@ for which that split is not proven (special strings, text that is not NFC, a cap
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -27,6 +28,7 @@ _MARKS, _NOT_BLANK = frozenset(".,;:!?"), ("\x1c", "\x1d", "\x1e", "\x1f")
 
 class WordEncoder:
     def __init__(self, name: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would spin
         from tokenizers import Tokenizer
 
         path = vocabulary(name)
