@@ -32,7 +32,7 @@ LENGTH, ANCHOR = 400, 200
 BEFORE = LENGTH - ANCHOR
 BUFFER = 1 << 20
 #: Contexts that one task merges at a time, about; and of one anchor from which on strings are counted as rows.
-BUCKET_ROWS, HOT_CONTEXTS = 20_000, 50_000
+BUCKET_ROWS, HOT_CONTEXTS = 20_000, 4_000
 _KEY = 8
 
 _rng = np.random.default_rng(20)
