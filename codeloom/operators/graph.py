@@ -183,3 +183,21 @@ def trace(seeds: DataFrame, edges: DataFrame, depth: int, least: float) -> DataF
         rows.append(step.select("seed", F.lit(k).alias("depth"), F.col("callee").alias("node"), F.concat("way", F.array("callee")).alias("way"), F.concat("place", F.array(F.col("line").cast("int"))).alias("place"), F.array_contains("way", F.col("callee")).alias("recursive")))
     flat = reduce(DataFrame.unionByName, rows)
     return flat.select("seed", F.row_number().over(Window.partitionBy("seed").orderBy("place", "node")).alias("position"), "depth", "node", "recursive")
+
+
+def dead_symbols(symbols: DataFrame, edges: DataFrame, entries: DataFrame, above: DataFrame, parsed: DataFrame, least: float = 0.6, include_tests: bool = False) -> DataFrame:
+    """id, label of symbols that no edge at the threshold calls, as candidates for removal.
+
+    Left out are modules, entry points (id), dunders, names that their file exports, methods that override one of a class
+    above (ancestors: class_id, ancestor), and, unless asked for, symbols of test paths.
+    """
+    from codeloom.functions.text import is_test_path
+
+    found = dead(symbols.select("id", "file_path", "kind", "name", "qualname", "parent_id"), edges, least).filter("kind <> 'module' AND NOT name RLIKE '^__.*__$'")
+    if not include_tests:
+        found = found.filter(~is_test_path(F.col("file_path")))
+    shown = parsed.select(F.col("path").alias("file_path"), F.explode("exports").alias("qualname")).distinct()
+    found = found.join(entries.select("id"), "id", "left_anti").join(shown, ["file_path", "qualname"], "left_anti")
+    own = symbols.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("ancestor"), "name")
+    overridden = above.filter("class_id <> ancestor").join(own, "ancestor").select(F.col("class_id").alias("parent_id"), "name").distinct()
+    return found.join(overridden, ["parent_id", "name"], "left_anti").select("id", F.lit("candidate").alias("label"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import budget, evaluation, graph, incremental, search, verify
+from codeloom.sources.shared import ensure_checkpoints
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,9 +182,7 @@ def nations(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
 
 
-def _checkpoints(spark) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+_checkpoints = ensure_checkpoints
 
 
 @query(f"WITH RECURSIVE {NATION_SQL} SELECT id, component FROM scc")
