@@ -201,3 +201,81 @@ def dead_symbols(symbols: DataFrame, edges: DataFrame, entries: DataFrame, above
     own = symbols.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("ancestor"), "name")
     overridden = above.filter("class_id <> ancestor").join(own, "ancestor").select(F.col("class_id").alias("parent_id"), "name").distinct()
     return found.join(overridden, ["parent_id", "name"], "left_anti").select("id", F.lit("candidate").alias("label"))
+
+
+def digraph(edges: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(vertices (id), edges with their largest weight) at the threshold; a caller stays even if all it calls is external."""
+    strong = edges.filter(F.col("confidence") >= least)
+    ends = strong.select(F.explode(F.array("caller", "callee")).alias("id")).filter("id IS NOT NULL").distinct()
+    return ends, weighted(edges, least)
+
+
+def order_graph(symbols: DataFrame, edges: DataFrame, least: float = 0.6) -> DataFrame:
+    """caller, callee of all that must be known first: calls at the threshold, a class's methods, and for a module's own
+    code the classes and functions at the top of its file."""
+    calls = weighted(edges, least).select("caller", "callee")
+    inner = symbols.filter("kind = 'method' AND parent_id IS NOT NULL").select(F.col("parent_id").alias("caller"), F.col("id").alias("callee"))
+    top = symbols.filter("kind IN ('class', 'function') AND parent_id IS NULL").select("file_path", F.col("id").alias("callee"))
+    modules = symbols.filter("kind = 'module'").select("file_path", F.col("id").alias("caller")).join(top, "file_path").select("caller", "callee")
+    return calls.unionByName(inner).unionByName(modules).distinct()
+
+
+def flagged(symbols: DataFrame, entries: DataFrame) -> DataFrame:
+    """symbols (id and more) with is_entrypoint and entry_kind as entries (id, entry_kind) say; old flags are gone."""
+    bare = symbols.drop("is_entrypoint", "entry_kind")
+    met = bare.join(entries.select("id", "entry_kind"), "id", "left")
+    return met.withColumn("is_entrypoint", F.col("entry_kind").isNotNull())
+
+
+def located(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """rows (caller, callee, line) with both names and the call's location; an external callee has no name."""
+    a = symbols.select(F.col("id").alias("caller"), F.col("qualname").alias("caller_qualname"), F.col("file_path").alias("__file"))
+    b = symbols.select(F.col("id").alias("callee"), F.col("qualname").alias("callee_qualname"))
+    return rows.join(a, "caller").join(b, "callee", "left").withColumn("location", F.concat_ws(":", "__file", "line")).drop("__file")
+
+
+def processing_order(vertices: DataFrame, edges: DataFrame, files: DataFrame, roots: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+    """position, scc_id, component, layer, reachable, members of each component, callees first.
+
+    Within a layer, what the roots (id) lead to comes first, then the component whose file has the highest rank, then the
+    least file and the id. Components are numbered by their least member; the global order has one row a component.
+    """
+    from codeloom.sources.shared import kept
+
+    c = kept(layers(vertices, edges))
+    ranks = pagerank(vertices, edges, rounds).select("id", F.round("rank", 9).alias("rank"))
+    by_file = files.join(ranks, "id", "left").groupBy("file").agg(F.max(F.coalesce("rank", F.lit(0.0))).alias("file_rank"))
+    met = c.join(files, "id").join(by_file, "file")
+    if roots is not None:
+        near = descendants(roots, edges).unionByName(roots.select("id")).distinct().withColumn("near", F.lit(True))
+        met = met.join(near, "id", "left")
+    else:
+        met = met.withColumn("near", F.lit(None).cast("boolean"))
+    rows = met.groupBy("component", "layer").agg(F.max(F.coalesce("near", F.lit(False))).alias("reachable"), F.max("file_rank").alias("file_rank"), F.min("file").alias("path"), F.count("*").alias("members"))
+    numbered = rows.withColumn("scc_id", F.concat(F.lit("scc-"), F.row_number().over(Window.orderBy("component")) - 1))
+    order = Window.orderBy("layer", F.desc("reachable"), F.desc("file_rank"), "path", "scc_id")
+    return numbered.withColumn("position", F.row_number().over(order))
+
+
+def with_metrics(symbols: DataFrame, ranks: DataFrame, components: DataFrame, order: DataFrame) -> DataFrame:
+    """symbols (id) with pagerank (0 outside the graph), scc_id and layer."""
+    of = components.join(order.select("component", "scc_id", "layer"), "component").select("id", "scc_id", "layer")
+    out = symbols.select("id").join(ranks.select("id", F.round("rank", 9).alias("pagerank")), "id", "left").join(of, "id", "left")
+    return out.select("id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), "scc_id", "layer")
+
+
+def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """id, community by label propagation over the undirected weighted graph: in each round a vertex takes the label with
+    the largest weight around it, the least one of equals. A vertex without neighbours is its own community. Labels are
+    summed by (vertex, label) before one is chosen, so a hub's neighbours are never gathered."""
+    from codeloom.sources.shared import kept
+
+    w = weighted(edges).filter("caller <> callee")
+    both = w.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "weight").unionByName(w.select(F.col("callee").alias("a"), F.col("caller").alias("b"), "weight"))
+    both = kept(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    label = vertices.select("id", F.col("id").alias("community"))
+    for _ in range(rounds):
+        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.round(F.sum("weight"), 6).alias("weight"))
+        best = near.groupBy("a").agg(F.min(F.struct(-F.col("weight"), "community")).alias("m")).select(F.col("a").alias("id"), F.col("m.community").alias("new"))
+        label = kept(label.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
+    return label

@@ -53,7 +53,7 @@ def current(evidence: DataFrame, state: DataFrame) -> DataFrame:
 
 def claims(texts: DataFrame) -> DataFrame:
     """id, position, claim: sentences and lines, trimmed, empty ones left out."""
-    parts = F.filter(F.transform(F.split("text", r"\n+|[.!?]+\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", r"\n+|[.!?]+\s+"), lambda x: F.trim(x)), lambda x: x != "")
     return texts.select("id", F.posexplode(parts).alias("position", "claim"))
 
 
