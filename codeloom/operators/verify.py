@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -61,3 +61,29 @@ def rule_hits(found: DataFrame) -> DataFrame:
     """id, position, rule of each rule that a claim breaks; one pass, no join with the rules."""
     broken = F.array(*(F.when(F.lower("claim").rlike(p), F.lit(n)) for n, p in CLAIM_RULES))
     return found.select("id", "position", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule"))
+
+
+NAMED = r"(?<!`)`([^`\n]+)`(?!`)"
+
+
+def unknown_names(answers: DataFrame, symbols: DataFrame, builtins: list[str]) -> DataFrame:
+    """answer_id, name: dotted names in single backquotes of answers (answer_id, text) that are no built-in, no file and no
+    symbol by its full name, its name, its end, or its module's path in front. symbols: qualname, name, file_path."""
+    found = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAMED), F.lit(1)))).alias("name"))
+    found = found.filter(F.col("name").rlike(r"^[A-Za-z_]\w*(\.\w+)*$") & ~F.col("name").isin(*builtins))
+    own = F.split("qualname", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: F.array_join(F.slice(own, i, F.size(own)), "."))
+    module = F.replace(F.regexp_replace("file_path", r"(/__init__)?\.py$", ""), F.lit("/"), F.lit("."))
+    known = symbols.select(F.explode(F.concat(ends, F.array("name", "file_path", F.concat(module, F.lit("."), "qualname")))).alias("name")).distinct()
+    return found.join(known, "name", "left_anti").select("answer_id", "name")
+
+
+def fallback(answers: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
+    """answer_id, sufficient, text: answers (answer_id, text, n_valid) without a valid citation give their first k hits
+    (answer_id, position, line) instead of a text."""
+    w = F.row_number().over(Window.partitionBy("answer_id").orderBy("position"))
+    top = hits.withColumn("n", w).filter(F.col("n") <= k).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("top"))
+    lines = F.array_join(F.transform(F.coalesce("top", F.array().cast("array<struct<n:int,line:string>>")), lambda x: F.concat(F.lit("- "), x["line"])), "\n")
+    out = answers.join(top, "answer_id", "left")
+    enough = F.coalesce(F.col("n_valid") > 0, F.lit(False))
+    return out.select("answer_id", enough.alias("sufficient"), F.when(enough, F.col("text")).otherwise(F.concat(F.lit("insufficient context\n\nTop hits:\n"), lines)).alias("text"))
