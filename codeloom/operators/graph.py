@@ -279,3 +279,14 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> Data
         best = near.groupBy("a").agg(F.min(F.struct(-F.col("weight"), "community")).alias("m")).select(F.col("a").alias("id"), F.col("m.community").alias("new"))
         label = kept(label.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
     return label
+
+
+def reach_ids(seeds: DataFrame, edges: DataFrame, depth: int, least: float = 0.6) -> DataFrame:
+    """seed, node: what each seed (id) leads to within so many steps, each once, the seed itself left out."""
+    w = weighted(edges, least).select(F.col("caller").alias("at"), F.col("callee").alias("node"))
+    seen = frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"))
+    for _ in range(depth):
+        step = frontier.select("seed", F.col("node").alias("at")).join(w, "at").select("seed", "node").distinct()
+        frontier = step.join(seen, ["seed", "node"], "left_anti")
+        seen = seen.unionByName(frontier)
+    return seen.filter("seed <> node")

@@ -87,3 +87,12 @@ def fallback(answers: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     out = answers.join(top, "answer_id", "left")
     enough = F.coalesce(F.col("n_valid") > 0, F.lit(False))
     return out.select("answer_id", enough.alias("sufficient"), F.when(enough, F.col("text")).otherwise(F.concat(F.lit("insufficient context\n\nTop hits:\n"), lines)).alias("text"))
+
+
+def contexts(symbols: DataFrame, edges: DataFrame, digests: DataFrame) -> DataFrame:
+    """id, callers, context of symbols (id): the hash over the sorted digests (id, digest) of what each calls. A symbol's
+    callees are its own calls, so they are few; callers are only counted."""
+    out = edges.join(digests.select(F.col("id").alias("callee"), "digest"), "callee").groupBy(F.col("caller").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("digest")), T.UNIT).alias("of"))
+    back = edges.groupBy(F.col("callee").alias("id")).agg(F.count("*").alias("callers"))
+    met = symbols.join(out, "id", "left").join(back, "id", "left")
+    return met.select("id", F.coalesce("callers", F.lit(0)).alias("callers"), F.sha2(F.coalesce("of", F.lit("")), 256).alias("context"))
