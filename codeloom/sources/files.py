@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Folders, names and suffixes that are never read.
 EXCLUDED = (".git", ".hg", ".svn", ".tox", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "build", "dist")
 LOCKFILES = ("poetry.lock", "uv.lock", "Pipfile.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock")
 SECRET = r"(^|/)\.env(\.[^/]*)?$|\.(pem|key|env|p12|pfx|jks|keystore|crt)$"
@@ -69,10 +70,16 @@ def discover(spark: SparkSession, root: str, ignore: list[str] = (), max_bytes:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^file:/*", "/", root).rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + re.escape(base) + "/", "")
-    rows = raw.select(path.alias("path"), "content", F.col("length").alias("size_bytes")).filter(F.col("size_bytes") <= max_bytes)
+    return selected(raw.select(path.alias("path"), "content", F.col("length").alias("size_bytes")), list(ignore), max_bytes)
+
+
+def selected(rows: DataFrame, ignore: list[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows (path, content, size_bytes) to be read, with sha256, language and line_count. Paths and sizes are tested
+    before contents."""
+    rows = rows.filter(F.col("size_bytes") <= max_bytes)
     parts = F.split("path", "/")
     rows = rows.filter(~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*EXCLUDED)))
-    rows = rows.filter(~is_secret(F.col("path")) & ~is_lockfile(F.col("path")) & ~ignored(F.col("path"), list(ignore)) & ~is_binary(F.col("content")))
+    rows = rows.filter(~is_secret(F.col("path")) & ~is_lockfile(F.col("path")) & ~ignored(F.col("path"), list(ignore)))
     text = F.decode("content", "UTF-8")
-    rows = rows.filter(~is_minified(text))
+    rows = rows.filter(~is_binary(F.col("content"))).filter(~is_minified(text))
     return rows.select("path", "content", F.sha2("content", 256).alias("sha256"), "size_bytes", language_of(F.col("path")).alias("language"), F.size(F.split(text, "\n", -1)).alias("line_count"))

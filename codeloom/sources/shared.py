@@ -23,3 +23,11 @@ def kept(df: DataFrame) -> DataFrame:
     """df computed once and written to the checkpoint folder."""
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    import uuid
+
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from codeloom.plans import catalog
+from codeloom.plans import every as catalog
 from tests.conftest import assert_same
 
 
