@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,26 +19,47 @@ def ranked(df: DataFrame, key: str, score, *ties: str, k: int | None = None, nam
     return out.filter(F.col(name) <= k) if k else out
 
 
-def postings(units: DataFrame, text: str) -> DataFrame:
-    """id, term, tf of each unit (id, text)."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")
-    return units.select("id", words).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
+def postings(units: DataFrame, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf of each unit (id, text); with terms (term, each once), of those only, so other words are never shuffled."""
+    words = units.select("id", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    if terms is not None:
+        words = words.join(small(terms), "term", "left_semi")
+    return words.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def lexical_topk(queries: DataFrame, units: DataFrame, k: int = 20) -> DataFrame:
+#: A table may be broadcast if it has been counted to have at most so many (short) rows.
+SMALL_ROWS = 200_000
+#: Ways that the postings of a term are dealt, so that a common term isn't one task's.
+TERM_PARTS = 16
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A hint to broadcast df if it is counted to be small; else df as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def lexical_topk(queries: DataFrame, units: DataFrame | None, k: int = 20, index: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank. queries: query_id, text. An OR search: each term of the query adds its weight in the
-    unit, over the number of terms. Terms meet postings in an equi-join; scores are summed before the ranking."""
+    unit, over the number of terms. Postings come from a stored index (id, term, tf), or are made from units for the terms
+    of these queries. A term's postings are dealt by unit, with the query's row in each part; scores are summed by pair
+    before the ranking."""
     terms = queries.select("query_id", T.query_terms(F.col("text")).alias("terms")).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    hits = terms.join(postings(units, "text"), "term").withColumn("w", T.term_weight(F.col("tf")))
+    held = index if index is not None else postings(units, "text", terms.select("term").distinct())
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TERM_PARTS)).cast("int"))
+    asked = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))))
+    hits = asked.join(dealt, ["term", "part"]).withColumn("w", T.term_weight(F.col("tf")))
     scores = hits.groupBy("query_id", "id").agg(F.round(F.sum("w") / F.max("n"), 6).alias("score"))
     return ranked(scores, "query_id", F.desc("score"), "id", k=k)
 
 
 def trigram_topk(queries: DataFrame, units: DataFrame, k: int = 20, least: float = 0.3) -> DataFrame:
-    """query_id, id, score, rank by Jaccard similarity of trigram sets, at least `least`. Only pairs that share a gram
-    meet, and counts of shared grams are summed by pair."""
+    """query_id, id, score, rank by Jaccard similarity of trigram sets, at least `least`. Only pairs that share a gram and
+    whose numbers of grams allow that similarity meet; a gram's units are dealt in parts; shared grams are summed by pair."""
     grams = lambda df, key: df.select(key, T.trigrams(F.col("name")).alias("g")).select(key, F.size("g").alias(f"n_{key}"), F.explode("g").alias("gram"))
-    shared = grams(queries, "query_id").join(grams(units, "id"), "gram").groupBy("query_id", "id").agg(F.count("*").alias("s"), F.max("n_query_id").alias("a"), F.max("n_id").alias("b"))
+    asked = grams(queries, "query_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))))
+    dealt = grams(units, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TERM_PARTS)).cast("int"))
+    near = (F.col("n_id") >= F.col("n_query_id") * (least - 1e-6)) & (F.col("n_query_id") >= F.col("n_id") * (least - 1e-6))
+    shared = asked.join(dealt, ["gram", "part"]).filter(near).groupBy("query_id", "id").agg(F.count("*").alias("s"), F.max("n_query_id").alias("a"), F.max("n_id").alias("b"))
     scored = shared.select("query_id", "id", F.round(F.col("s") / (F.col("a") + F.col("b") - F.col("s")), 6).alias("score")).filter(F.col("score") >= least)
     return ranked(scored, "query_id", F.desc("score"), "id", k=k)
 
@@ -49,49 +71,61 @@ def fused(*lists: DataFrame, constant: int = 0, k: int | None = None) -> DataFra
     return ranked(scores, "query_id", F.desc("score"), "id", k=k)
 
 
-#: Queries that a task compares at a time; more queries come in further blocks.
-QUERY_BLOCK = 4096
+#: Queries, and units, that a task compares at a time.
+QUERY_BLOCK, UNIT_BLOCK = 4096, 50_000
+_NEAR = "query_id long, id long, distance double"
 
 
-def dense_topk(queries: DataFrame, units: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
+def _nearest(ids: np.ndarray, mat: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, unit ids, distances) of the k nearest rows of v for each row of mat; ties go to the smaller id."""
+    if metric == "cosine":
+        d = 1 - (mat @ v.T) / (np.sqrt((mat * mat).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :])
+    else:
+        d = np.stack([np.sqrt(((v - q) ** 2).sum(1)) for q in mat])
+    d = np.round(d, 6)
+    order = np.argsort(own, kind="stable")
+    d, own = d[:, order], own[order]
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.repeat(ids, best.shape[1]), own[best].ravel(), np.take_along_axis(d, best, 1).ravel()
+
+
+def dense_topk(queries: DataFrame, units: DataFrame, k: int = 5, metric: str = "cosine", query_block: int = QUERY_BLOCK, unit_block: int = UNIT_BLOCK) -> DataFrame:
     """query_id, id, distance (6 places), rank of the k nearest units (id, vector) of each query (query_id, vector).
 
-    Exact: each task compares its vectors with a block of queries as a matrix product and keeps its k best, which are
-    ranked again after a shuffle of k rows a task and query. Blocks bound what is sent to the tasks. Distances are
-    rounded before they are ranked, ties go to the smaller id.
+    Exact, as matrix products of blocks. Queries that fit one block are sent to where the units lie. More are dealt to
+    blocks as units are, and each pair of blocks is a task's: nothing but their number reaches the driver. Each task keeps
+    its k best for a query, which are ranked again. Distances are rounded before they are ranked.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(metric)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
-        if not rows:
-            continue
+    units = units.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL")
+    n = queries.limit(query_block + 1).count()
+    if n == 0:
+        return ranked(queries.join(units, F.lit(False)).select("query_id", "id", F.lit(0.0).alias("distance")), "query_id", "distance", "id")
+    if n <= query_block:
+        rows = queries.select("query_id", "vector").collect()  # at most one block
         ids, mat = np.array([r["query_id"] for r in rows]), np.array([r["vector"] for r in rows], np.float64)
 
-        def near(batches, ids=ids, mat=mat):
-            norms = np.sqrt((mat * mat).sum(1))
+        def near(batches):
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column("id").to_numpy()
-                v = np.array(batch.column("vector").flatten().to_numpy(), np.float64).reshape(len(own), -1)
-                if metric == "cosine":
-                    d = 1 - (mat @ v.T) / (norms[:, None] * np.sqrt((v * v).sum(1))[None, :])
-                else:
-                    d = np.stack([np.sqrt(((v - q) ** 2).sum(1)) for q in mat])
-                d = np.round(d, 6)
-                order = np.argsort(own, kind="stable")
-                d, own = d[:, order], own[order]
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], names=["query_id", "id", "distance"])
-
-        parts.append(units.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL").mapInArrow(near, "query_id long, id long, distance double"))
-    if not parts:
-        return ranked(queries.join(units, F.lit(False)).select("query_id", "id", F.lit(0.0).alias("distance")), "query_id", "distance", "id")
-    return ranked(reduce(DataFrame.unionByName, parts), "query_id", "distance", "id", k=k)
+                if batch.num_rows:
+                    v = np.array(batch.column("vector").flatten().to_numpy(), np.float64).reshape(batch.num_rows, -1)
+                    found = _nearest(ids, mat, batch.column("id").to_numpy(), v, k, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "id", "distance"])
+
+        return ranked(units.mapInArrow(near, _NEAR), "query_id", "distance", "id", k=k)
+    q_blocks, u_blocks = -(-queries.count() // query_block), max(1, -(-units.count() // unit_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q"), every(u_blocks).alias("u"))
+    right = units.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(u_blocks)).cast("int").alias("u"), every(q_blocks).alias("q"))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        found = _nearest(a["query_id"].to_numpy(), np.array(a["vector"].tolist(), np.float64), b["id"].to_numpy(), np.array(b["vector"].tolist(), np.float64), k, metric)
+        return pd.DataFrame(dict(zip(("query_id", "id", "distance"), found)))
+
+    return ranked(left.groupBy("q", "u").cogroup(right.groupBy("q", "u")).applyInPandas(pair, _NEAR), "query_id", "distance", "id", k=k)
 
 
 def name_lookup(queries: DataFrame, symbols: DataFrame, k: int = 100) -> DataFrame:

@@ -352,3 +352,23 @@ def test_most_chars_is_the_longest_that_fits():
     for tokens in (1, 7, 60, 100, 999):
         n = T.most_chars(tokens)
         assert budget.estimate("x" * n) <= tokens < budget.estimate("x" * (n + 1))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_dense_blocks_give_what_one_block_gives(spark, small, metric):
+    from codeloom.operators import search
+
+    e = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    one = rows(search.dense_topk(q, e, 4, metric))
+    assert sum(one.values()) > 20 and one == rows(search.dense_topk(q, e, 4, metric, query_block=5, unit_block=9))
+    assert search.dense_topk(q.limit(0), e).count() == 0
+
+
+def test_lexical_index_gives_what_units_give(spark, small):
+    from codeloom.operators import search
+
+    d = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    q = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    got = rows(search.lexical_topk(q, d, 5))
+    assert got and got == rows(search.lexical_topk(q, None, 5, search.postings(d, "text")))
