@@ -245,3 +245,105 @@ def stripped(answers: DataFrame, checked: DataFrame) -> DataFrame:
     pieces = F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get("shown", i), F.lit(""))))
     return out.select("answer_id", F.array_join(pieces, "").alias("text"))
 
+
+
+_SEND, _MAIL = r"(?:send|sent|deliver|transmit)\w*", r"(?:e-?mails?|notifications?)"
+_GUARD = r"(?:un)?conditional\w*|guarded"
+#: Claims that are turned down by their words alone: name, pattern, and a pattern that lifts it.
+CLAIM_REJECTIONS: list[tuple[str, str, str | None]] = [
+    ("only citations", r"(?i)^\s*(?:[-*]\s*)?(?:(?:citation|source|reference)s?\s*:)?\s*$", None),
+    ("unclear call guard", rf"(?i)\b(?:this|it|that)\b[^.\n]*\b(?:{_GUARD})\b[^.\n]*\bcall\b|\b(?:this|it|that)\b[^.\n]*\bcall\b[^.\n]*\b(?:{_GUARD})\b|\bwhich\b[^.\n]*\b(?:raise|throw)s?\b", None),
+    ("place cut off", r"(?i)\b(?:at|from|in)\s*(?:[.,;]|under\b)", None),
+    ("unnamed function", r"(?i)\bthe (?:function|method) (?:iterate|delegate|return|call|invoke|set|check|accept|read|write|retrieve|raise|save|processe)s\b", r"^Scope `"),
+    ("delivery as a fact", rf"(?i)\b{_SEND}\b[^.\n]*\b{_MAIL}\b|\b{_MAIL}\b[^.\n]*\b{_SEND}\b", r"(?i)\b(?:no|not|without|stub|simulat\w*|represent\w*|attempt\w*|unchanged)\b"),
+    ("assurance", r"(?i)\ball (?:analysis|claims?) (?:is|are) based\b|\bno (?:additional|further|missing) evidence\b|\b(?:no|without) side effects\b|\bnot (?:shown|supplied|provided)\b|\b(?:answer|explanation|analysis)\b[^.\n]*\b(?:incomplete|supported|evidence)\b", None),
+    ("placeholder", r"(?i)\bsee source\b|\btemplated from source\b|\bnone shown\b|\b(?:raises|side_effects)\s*:\s*(?:\[\]|none\b)", None),
+    ("no subject", r"(?i)^(?:(?:it|this|they|finally)\b|[-*]\s+\*\*)", None),
+    ("diagram by a model", r"^```mermaid", None),
+    ("language history", r"(?i)\bPEP\s*\d+|\bPython\s+(?:versions?\s+)?(?:prior|before|after|\d)", None),
+    ("concurrency", r"(?i)\bthread[- ]safe(?:ty)?\b|\bthread safety\b|\brace[- ]free\b|\batomicity\b", None),
+    ("outside guarantee", r"(?i)\bsecure(?:ly)?\b|\btiming attacks?\b|\bconstant[- ]time\b|\bruntime performance\b|\b(?:type checker|linter)s?\b|\brandom salt\b", None),
+    ("annotation lore", r"(?i)\b(?:annotation|type hint)s?\b[^.\n]*\b(?:evaluat|delay|postpon)\w*|\b(?:input|parameter)s?\b[^.\n]*\bimmutable\b", None),
+    ("no exceptions", r"(?i)\b(?:no|without|never|not) (?:rais(?:ed|ing|es?) )?exceptions\b", None),
+]
+_FACTS = "struct<names:array<string>,raised:array<string>,keys:array<string>,identity:boolean,copies:boolean>"
+
+
+def source_facts(code: str) -> dict:
+    """Of Python code: names that it uses, exceptions that it raises or passes on, string keys that it subscripts by, whether
+    it only gives its input back, and whether it copies a mapping first."""
+    import ast
+    import textwrap
+
+    names, raised, keys = set(), set(), set()
+    none = {"names": [], "raised": [], "keys": [], "identity": False, "copies": False}
+    try:
+        tree = ast.parse(textwrap.dedent(code))
+    except SyntaxError:
+        return none
+    copies = False
+    for n in ast.walk(tree):
+        match n:
+            case ast.Name(id=x) | ast.arg(arg=x) | ast.FunctionDef(name=x) | ast.AsyncFunctionDef(name=x) | ast.ClassDef(name=x):
+                names.add(x)
+            case ast.Attribute(attr=x):
+                names |= {x, ast.unparse(n)}
+            case ast.alias():
+                names.add(n.asname or n.name)
+            case ast.Raise(exc=exc) if exc is not None:
+                raised.add(ast.unparse(exc.func if isinstance(exc, ast.Call) else exc))
+            case ast.ExceptHandler(type=kind) if kind is not None and any(isinstance(x, ast.Raise) and x.exc is None for x in ast.walk(n)):
+                raised |= {ast.unparse(t) for t in (kind.elts if isinstance(kind, ast.Tuple) else [kind])}
+            case ast.Subscript(slice=ast.Constant(value=str(x))):
+                keys.add(x)
+        if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Name) and n.value.func.id == "dict" and n.value.args:
+            copies = True
+    first = next((s for s in tree.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))), None)
+    body = [s for s in first.body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant))] if first else []
+    identity = len(body) == 1 and isinstance(body[0], ast.Return) and isinstance(body[0].value, ast.Name)
+    return {"names": sorted(names), "raised": sorted(raised), "keys": sorted(keys), "identity": identity, "copies": copies}
+
+
+def static_rejections(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """answer_id, position, rule of each claim (answer_id, position, claim) that can't stand: by its words, or against the
+    answer's sources (answer_id, name, qualname, raw_code).
+
+    Against the sources go names in backquotes and exception types that none of them has, exceptions that none raises, keys
+    called attributes, deliveries by a function that gives its input back, and changes of an input that is copied first.
+    An answer's sources are its evidence, so few; their facts are gathered by answer.
+    """
+    import builtins
+
+    @F.pandas_udf(_FACTS)
+    def facts(code: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([source_facts(c or "") for c in code])
+
+    plain = F.trim(F.regexp_replace("claim", r"\[[^\[\]:]+:\d+-\d+\]", ""))
+    words = [F.when(plain.rlike(p) & (~plain.rlike(unless) if unless else F.lit(True)), F.lit(n)) for n, p, unless in CLAIM_REJECTIONS]
+    known = sources.select("answer_id", "name", "qualname", facts("raw_code").alias("f"))
+    of = known.groupBy("answer_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.concat("f.names", F.array("name", "qualname"))))).alias("names"),
+        F.array_distinct(F.flatten(F.collect_list("f.raised"))).alias("raised"),
+        F.array_distinct(F.flatten(F.collect_list("f.keys"))).alias("keys"),
+        F.collect_set(F.when(F.col("f.identity"), F.col("name"))).alias("identity"),
+        F.collect_set(F.when(F.col("f.copies"), F.col("name"))).alias("copies"),
+    )
+    met = claims.join(of, "answer_id", "left")
+    empty = F.array().cast("array<string>")
+    met = met.withColumns({c: F.coalesce(c, empty) for c in ("names", "raised", "keys", "identity", "copies")})
+    own = F.array(*(F.lit(x) for x in sorted(dir(builtins))))
+    quoted = F.filter(F.regexp_extract_all("claim", F.lit(r"(?<!`)`([^`\n]+)`(?!`)"), F.lit(1)), lambda x: x.rlike(r"^[A-Za-z_]\w*(\.\w+)*$"))
+    lacks = lambda x: ~F.array_contains("names", x) & ~F.array_contains("names", F.element_at(F.split(x, r"\."), -1)) & ~F.array_contains(own, x)
+    errors = F.regexp_extract_all("claim", F.lit(r"\b((?:\w+\.)*[A-Z]\w*(?:Error|Exception))\b"), F.lit(1))
+    says = F.col("claim").rlike(r"(?i)\b(?:raise|throw)s?\b")
+    spoken = lambda names: F.exists(names, lambda x: F.array_contains(F.split("claim", r"\W+"), x))
+    delivers = F.col("claim").rlike(r"(?i)\b(?:send|deliver|transmit)s?\b") & ~F.col("claim").rlike(r"(?i)\b(?:no|not|without|stub|unchanged)\b")
+    checks = [
+        F.when(F.exists(quoted, lacks), "unknown name"),
+        F.when(F.exists(errors, lacks), "unknown exception"),
+        F.when(says & F.exists(errors, lambda x: ~F.array_contains("raised", x)), "exception that nothing raises"),
+        F.when(F.col("claim").rlike(r"(?i)\b(?:attribute|property)\b") & spoken(F.col("keys")), "key called an attribute"),
+        F.when(delivers & spoken(F.col("identity")), "delivery by a function that returns its input"),
+        F.when(F.col("claim").rlike(r"(?i)(?:modif|mutat)\w*[^.\n]{0,45}input") & spoken(F.col("copies")), "change of an input that is copied"),
+    ]
+    return met.select("answer_id", "position", F.explode(F.filter(F.array(*words, *checks), lambda x: x.isNotNull())).alias("rule"))

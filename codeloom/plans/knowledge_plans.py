@@ -188,3 +188,45 @@ def context_hashes(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     e = graph.weighted(call_graph(spark, sf_dir), 0.6)
     return verify.contexts(p, e, p.select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest")))
+
+
+#: Claims by number, with the rules that turn each down.
+_CLAIMS = [
+    ("`keep{k}` returns the row.", []),
+    ("Sources:", ["only citations"]),
+    ("This makes a conditional call to `keep{k}`.", ["unclear call guard", "no subject"]),
+    ("The value comes from .", ["place cut off"]),
+    ("The method returns rows.", ["unnamed function"]),
+    ("`keep{k}` sends the email.", ["delivery as a fact", "delivery by a function that returns its input"]),
+    ("`keep{k}` does not send any email.", []),
+    ("`keep{k}` has no side effects.", ["assurance"]),
+    ("raises: none", ["placeholder"]),
+    ("```mermaid\npie\n```", ["diagram by a model"]),
+    ("`keep{k}` follows PEP 8.", ["language history"]),
+    ("`keep{k}` is thread-safe.", ["concurrency"]),
+    ("`keep{k}` stores it securely.", ["outside guarantee"]),
+    ("The annotations are evaluated late.", ["annotation lore"]),
+    ("`keep{k}` never raises exceptions.", ["no exceptions"]),
+    ("`lost{k}` is called.", ["unknown name"]),
+    ("`load{k}` raises LostError.", ["unknown exception", "exception that nothing raises"]),
+    ("`load{k}` raises KeyError.", ["exception that nothing raises"]),
+    ("`load{k}` raises ValueError for {lang}.", []),
+    ("The attribute size is set.", ["key called an attribute"]),
+    ("`load{k}` modifies its input.", ["change of an input that is copied"]),
+]
+
+
+def _rejections_sql() -> str:
+    parts = [f"SELECT doc_id AS answer_id, {i} AS position, '{rule}' AS rule FROM documents" for i, (_, rules) in enumerate(_CLAIMS) for rule in rules]
+    return " UNION ALL ".join(parts)
+
+
+@query(_rejections_sql())
+def claim_rejections(spark, sf_dir):
+    """Claims about two functions of each document, and why they can't stand."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("doc_id").cast("string").alias("k"), "lang")
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("k")), F.lit("{lang}"), F.col("lang"))
+    claims = d.select("answer_id", F.posexplode(F.array(*(fill(t) for t, _ in _CLAIMS))).alias("position", "claim"))
+    keep, load = "def keep{k}(row):\n    return row\n", "def load{k}(row):\n    out = dict(row)\n    if out['size'] < 0:\n        raise ValueError('{lang}')\n    return out\n"
+    one = lambda name, code: d.select("answer_id", fill(name).alias("name"), fill(name).alias("qualname"), fill(code).alias("raw_code"))
+    return knowledge.static_rejections(claims, one("keep{k}", keep).union(one("load{k}", load)))
