@@ -20,7 +20,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset on a local master.
+    A cluster without one is an error, as its machines share no local folder."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     kept = sc._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(LOCAL_CHECKPOINTS)
     return f"file://{LOCAL_CHECKPOINTS}"
 
@@ -81,12 +84,19 @@ def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def one_row(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that match found as in matching(), but one row of those that share doc_id and text.
+    """The rows of docs that match found (one row for each that stays) as in matching(), but one of those that share doc_id
+    and text.
 
-    Each task drops its own repeats before the shuffle, so a key with very many rows doesn't meet in one task.
+    Keys are counted first, without texts. Only rows whose key comes more than once are deduplicated, so other texts are
+    shuffled for the match alone; each task drops its own repeats before that shuffle, and a key with very many rows
+    doesn't meet in one task.
     """
-    keyed = matching(docs, found, "left_semi").withColumn("__own", F.sha2(whole_text("text"), 256))
-    return keyed.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    keys = written(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept-keys")
+    tied = keys.filter("n > 1")
+    if tied.isEmpty():
+        return matching(docs, keys, "left_semi")
+    several = matching(docs, tied, "left_semi").withColumn("__own", F.sha2(whole_text("text"), 256))
+    return matching(docs, keys.filter("n = 1"), "left_semi").unionByName(several.dropDuplicates(["doc_id", "__own"]).drop("__own"))
 
 
 def ascii_lower(column: Column) -> Column:
