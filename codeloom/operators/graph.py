@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.shared import kept
+
 
 def weighted(edges: DataFrame, least: float = 0.0) -> DataFrame:
     """One edge for each pair, with its largest confidence, from those at or over the threshold; no null callee."""
@@ -136,21 +138,54 @@ def descendants(roots: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFra
     raise RuntimeError("descendants: the bound on rounds was met")
 
 
-def reachability(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """source, node closure of a small graph (a dimension, a module graph) by doubling; every vertex reaches itself."""
-    closure = vertices.select(F.col("id").alias("source"), F.col("id").alias("node")).unionByName(weighted(edges).select(F.col("caller").alias("source"), F.col("callee").alias("node"))).distinct().checkpoint()
+def _trimmed(left: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(vertices, edges, what was taken off): vertices that nothing leads to, or that lead to nothing, are on no cycle."""
+    gone = []
     while True:
-        step = closure.join(closure.select(F.col("source").alias("node"), F.col("node").alias("next")), "node").select("source", F.col("next").alias("node")).distinct().checkpoint()
-        if step.count() == closure.count():
-            return step
-        closure = step
+        cyclic = edges.select(F.col("caller").alias("id")).distinct().join(edges.select(F.col("callee").alias("id")).distinct(), "id", "left_semi")
+        off = kept(left.join(cyclic, "id", "left_anti"))
+        if off.isEmpty():
+            return left, edges, gone
+        gone.append(off)
+        left = kept(left.join(off, "id", "left_anti"))
+        edges = kept(edges.join(off.select(F.col("id").alias("caller")), "caller", "left_anti").join(off.select(F.col("id").alias("callee")), "callee", "left_anti"))
 
 
 def components_strong(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (least id that it reaches and that reaches it)."""
-    r = reachability(vertices, edges)
-    back = r.select(F.col("node").alias("source"), F.col("source").alias("node"))
-    return r.join(back, ["source", "node"]).groupBy(F.col("source").alias("id")).agg(F.min("node").alias("component"))
+    """id, component (least id of the strongly connected component), by forward and backward colouring.
+
+    Vertices on no cycle are taken off. Every other takes the largest id that leads to it as its colour; what leads back to
+    a colour's own vertex within the colour is that vertex's component. Components are taken off and the rest goes on. Each
+    step is a join and a sum over edges, so nothing grows with the square of the vertices.
+    """
+    left = kept(vertices.select("id").distinct())
+    e = kept(weighted(edges).filter("caller <> callee").select("caller", "callee"))
+    e = kept(e.join(left.select(F.col("id").alias("caller")), "caller", "left_semi").join(left.select(F.col("id").alias("callee")), "callee", "left_semi"))
+    found = []
+    while True:
+        left, e, off = _trimmed(left, e)
+        found += [x.select("id", F.col("id").alias("component")) for x in off]
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found) if found else vertices.select("id", F.col("id").alias("component"))
+        colour = left.select("id", F.col("id").alias("c"))
+        while True:
+            came = e.join(colour.withColumnRenamed("id", "caller"), "caller").groupBy(F.col("callee").alias("id")).agg(F.max("c").alias("m"))
+            new = kept(colour.join(came, "id", "left").select("id", F.greatest("c", "m").alias("c"), (F.col("m") > F.col("c")).alias("up")))
+            colour = new.select("id", "c")
+            if new.filter("up").isEmpty():
+                break
+        inner = e.join(colour.select(F.col("id").alias("caller"), F.col("c").alias("a")), "caller").join(colour.select(F.col("id").alias("callee"), F.col("c").alias("b")), "callee")
+        inner = kept(inner.filter("a = b").select("caller", "callee", F.col("a").alias("c")))
+        marked = frontier = kept(colour.filter("id = c"))
+        while True:
+            step = inner.join(frontier.select(F.col("id").alias("callee")), "callee").select(F.col("caller").alias("id"), "c").distinct()
+            frontier = kept(step.join(marked, "id", "left_anti"))
+            if frontier.isEmpty():
+                break
+            marked = kept(marked.unionByName(frontier))
+        found.append(marked.join(marked.groupBy("c").agg(F.min("id").alias("component")), "c").select("id", "component"))
+        left = kept(left.join(marked, "id", "left_anti"))
+        e = kept(e.join(marked.select(F.col("id").alias("caller")), "caller", "left_anti").join(marked.select(F.col("id").alias("callee")), "callee", "left_anti"))
 
 
 def layers(vertices: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
@@ -240,8 +275,6 @@ def processing_order(vertices: DataFrame, edges: DataFrame, files: DataFrame, ro
     Within a layer, what the roots (id) lead to comes first, then the component whose file has the highest rank, then the
     least file and the id. Components are numbered by their least member; the global order has one row a component.
     """
-    from codeloom.sources.shared import kept
-
     c = kept(layers(vertices, edges))
     ranks = pagerank(vertices, edges, rounds).select("id", F.round("rank", 9).alias("rank"))
     by_file = files.join(ranks, "id", "left").groupBy("file").agg(F.max(F.coalesce("rank", F.lit(0.0))).alias("file_rank"))
@@ -268,8 +301,6 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> Data
     """id, community by label propagation over the undirected weighted graph: in each round a vertex takes the label with
     the largest weight around it, the least one of equals. A vertex without neighbours is its own community. Labels are
     summed by (vertex, label) before one is chosen, so a hub's neighbours are never gathered."""
-    from codeloom.sources.shared import kept
-
     w = weighted(edges).filter("caller <> callee")
     both = w.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "weight").unionByName(w.select(F.col("callee").alias("a"), F.col("caller").alias("b"), "weight"))
     both = kept(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")))

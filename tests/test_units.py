@@ -372,3 +372,29 @@ def test_lexical_index_gives_what_units_give(spark, small):
     q = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     got = rows(search.lexical_topk(q, d, 5))
     assert got and got == rows(search.lexical_topk(q, None, 5, search.postings(d, "text")))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strong_components_of_random_graphs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    n = 40
+    pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(55)})
+    reach = {a: {a} for a in range(n)}
+    for _ in range(n):
+        for a, b in pairs:
+            for s in reach.values():
+                if a in s:
+                    s.add(b)
+    want = {a: min(b for b in reach[a] if a in reach[b]) for a in range(n)}
+    assert len(set(want.values())) < n
+    edges = spark.createDataFrame([(a, b, 0.9) for a, b in pairs], "caller long, callee long, confidence double")
+    got = graph.components_strong(spark.range(n), edges).collect()
+    assert len(got) == n and {r["id"]: r["component"] for r in got} == want
+
+
+def test_strong_components_without_edges(spark):
+    edges = spark.createDataFrame([(1, 1, 0.9), (1, None, 0.0)], "caller long, callee long, confidence double")
+    assert rows(graph.components_strong(spark.range(3), edges)) == Counter({(0, 0): 1, (1, 1): 1, (2, 2): 1})
+    assert graph.components_strong(spark.range(0), edges).count() == 0
