@@ -190,7 +190,8 @@ def resolve_revisits(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED
     rows = captures.select("record_id", "kind", "url", canonical_url(F.col("url")).alias("canonical"), "date", "profile", "status", "headers", digest.alias("payload_sha256"))
     usable = F.col("canonical").isNotNull() & F.col("date").isNotNull()
     full = F.coalesce((F.col("kind") == "response") & (F.col("status") == 200), F.lit(False))
-    rows = rows.withColumn("full", full & usable & F.col("record_id").isNotNull())
+    # ranges are found by a first pass over the rows, so they are written once: records aren't parsed and hashed twice
+    rows = written(rows.withColumn("full", full & usable & F.col("record_id").isNotNull()), "metadata")
     order = ["canonical", "date", "full", "record_id"]
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     schema = rows.schema.add("part", IntegerType()).add("place", LongType()).add("before", StringType()).add("last", StringType())
@@ -237,7 +238,8 @@ FIRST = 1_704_067_200  # 2024-01-01 UTC
 def page_captures(pages: DataFrame) -> DataFrame:
     """Four captures of each page: its response, a later revisit that is still valid and asks by another form of the URL,
     one whose ETag is new, and one from the day before the response."""
-    etag = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16), F.lit('"'))
+    hashed = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16), F.lit('"'))
+    pages, etag = pages.select("page_id", "url", "html", hashed.alias("page_etag")), F.col("page_etag")
     at = F.lit(FIRST) + F.col("page_id") * 60
     day = lambda n: F.timestamp_seconds(at + n * DAY)
     rid = lambda name: F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(f":{name}>"))
