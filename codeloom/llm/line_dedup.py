@@ -1,10 +1,10 @@
 """Line deduplication with levelled sorted runs of line hashes; DataFrame operations only.
 
-Documents come in batches. A batch is aggregated to (line hash, documents, largest doc_id) and added as a sorted run of
-its own; FAN runs of a level are compacted to one run of the next. At the end the sums over all runs decide which lines
-are frequent: a plain aggregation. The runs also mark repeats, and fresh() is a merge anti-join against them, but no result
-depends on either. Hashes have 128 bits. The hot line is summed before each shuffle, and the join of lines
-with frequent hashes is an equi-join that adaptive execution splits where one hash is hot.
+Documents come in batches. A batch is summed to (line hash, documents, largest doc_id) and merge-anti-joined with the runs:
+lines that no run has become a sorted run of its own, so every hash lies in exactly one run; the others are kept as the
+batch's repeats. FAN runs of a level are compacted to one run of the next. A line's total is its run's count and its
+repeats'. Hashes have 128 bits. The hot line is summed before each shuffle, and the join of lines with frequent hashes is an
+equi-join that adaptive execution splits where one hash is hot.
 """
 
 from __future__ import annotations
@@ -34,46 +34,45 @@ def hashed(key: Column) -> list[Column]:
 
 
 class LineRuns:
-    """Runs by level. A row: h1, h2, documents, last_id (largest doc_id), repeat (an earlier run has the hash)."""
+    """Runs by level, no hash in two of them, and the repeats of each batch. A row: h1, h2, documents, last_id (largest
+    doc_id)."""
 
     def __init__(self, fan: int = FAN):
-        self.fan, self.levels = fan, []
+        self.fan, self.levels, self.repeats = fan, [], []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def _known(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (r.select(*KEY) for r in self.runs())).hint("merge")
+
     def add(self, batch: DataFrame) -> None:
         """batch: h1, h2, doc_id, one row for each line hash of each document."""
         sums = batch.groupBy(*KEY).agg(F.count("*").alias("documents"), F.max("doc_id").alias("last_id"))
         if self.runs():
-            known = reduce(DataFrame.unionByName, (r.select(*KEY) for r in self.runs())).withColumn("known", F.lit(True))
-            known = known.groupBy(*KEY).agg(F.first("known").alias("known")) if len(self.runs()) > 1 else known
-            sums = sums.join(known, KEY, "left").select(*KEY, "documents", "last_id", F.col("known").isNotNull().alias("repeat"))
-        else:
-            sums = sums.withColumn("repeat", F.lit(False))
+            sums = written(sums, "line-sums")
+            self.repeats.append(written(sums.join(self._known(), KEY, "left_semi"), "line-repeats"))
+            sums = sums.join(self._known(), KEY, "left_anti")
         self._put(0, sums)
 
-    def fresh(self, batch: DataFrame) -> DataFrame:
-        """Rows of batch (h1, h2 and more) whose line no run has yet: the merge anti-join."""
-        return reduce(lambda left, run: left.join(run.select(*KEY), KEY, "left_anti"), self.runs(), batch)
-
     def _put(self, level: int, rows: DataFrame) -> None:
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append(written(rows.sortWithinPartitions(*KEY), f"line-run-{level}"))
         if len(self.levels[level]) >= self.fan:
-            merged = reduce(DataFrame.unionByName, self.levels[level])
+            merged = reduce(DataFrame.unionByName, self.levels[level]).repartition(*KEY)
             self.levels[level] = []
-            self._put(level + 1, merged.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.max("last_id").alias("last_id"), F.max("repeat").alias("repeat")))
+            self._put(level + 1, merged)
 
     def frequent(self, least: int) -> DataFrame:
         """h1, h2, last_id of lines in at least so many documents."""
         if not self.runs():
             raise ValueError("no batch was added")
-        if len(self.runs()) == 1:
-            totals = self.runs()[0]
-        else:
-            totals = reduce(DataFrame.unionByName, self.runs()).groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.max("last_id").alias("last_id"))
+        totals = reduce(DataFrame.unionByName, self.runs())
+        if self.repeats:
+            again = reduce(DataFrame.unionByName, self.repeats).groupBy(*KEY).agg(F.sum("documents").alias("more"), F.max("last_id").alias("later"))
+            joined = totals.join(again, KEY, "left")
+            totals = joined.select(*KEY, (F.col("documents") + F.coalesce("more", F.lit(0))).alias("documents"), F.greatest("last_id", "later").alias("last_id"))
         return totals.filter(F.col("documents") >= least).select(*KEY, "last_id")
 
 
