@@ -12,6 +12,10 @@ from codeloom.functions.text import escape_label
 from codeloom.sources.shared import kept
 
 AGAIN = " ↻"
+# The lines that a diagram may have.
+DIAGRAM_HEADS = r"^((flowchart|graph) (TD|TB|LR|RL|BT)|sequenceDiagram)$"
+FLOW_NODE, FLOW_ARROW = r'^(n\w+)\["[^"\[\]]+"\]$', r"^(n\w+)\s*(?:-->|-\.->|==>)(?:\|[^|]+\|)?\s*(n\w+)$"
+SEQUENCE_NODE, SEQUENCE_ARROW = r"^participant (n\w+) as .+$", r"^(n\w+)(?:->>|-->>)(n\w+): .+$"
 _NODE = ["seed", "depth", "id", "place", "recursive", "caller", "line", "callee_expr", "confidence", "source", "control_ctx", "kind", "omitted", "count"]
 
 
@@ -141,8 +145,8 @@ def _text(lines: DataFrame, head: str) -> DataFrame:
 
 def diagram_errors(rows: DataFrame) -> DataFrame:
     """rows with errors, an array: what in diagram lies outside the subset that flowchart() and sequence() write."""
-    node = lambda x: F.when(F.col("__seq"), F.regexp_extract(x, r"^participant (n\w+) as .+$", 1)).otherwise(F.regexp_extract(x, r'^(n\w+)\["[^"\[\]]+"\]$', 1))
-    ends = lambda x, k: F.when(F.col("__seq"), F.regexp_extract(x, r"^(n\w+)(?:->>|-->>)(n\w+): .+$", k)).otherwise(F.regexp_extract(x, r"^(n\w+)\s*(?:-->|-\.->|==>)(?:\|[^|]+\|)?\s*(n\w+)$", k))
+    node = lambda x: F.when(F.col("__seq"), F.regexp_extract(x, SEQUENCE_NODE, 1)).otherwise(F.regexp_extract(x, FLOW_NODE, 1))
+    ends = lambda x, k: F.when(F.col("__seq"), F.regexp_extract(x, SEQUENCE_ARROW, k)).otherwise(F.regexp_extract(x, FLOW_ARROW, k))
     stripped = F.filter(F.transform(F.split("diagram", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     out = rows.withColumn("__lines", stripped).withColumn("__head", F.coalesce(F.get("__lines", F.lit(0)), F.lit("")))
     out = out.withColumn("__seq", F.col("__head") == "sequenceDiagram").withColumn("__rest", F.slice("__lines", 2, F.greatest(F.size("__lines") - 1, F.lit(0))))
@@ -151,7 +155,7 @@ def diagram_errors(rows: DataFrame) -> DataFrame:
     wrong = F.transform(F.filter("p", lambda x: (x["node"] == "") & (x["a"] == "")), lambda x: F.concat(F.lit("Invalid line: "), x["line"]))
     again = F.transform(F.filter("__seen", lambda x, i: F.array_contains(F.slice("__seen", 1, i), x)), lambda x: F.concat(F.lit("Duplicate node: "), x))
     loose = F.transform(F.filter("p", lambda x: (x["a"] != "") & (~F.array_contains("__seen", x["a"]) | ~F.array_contains("__seen", x["b"]))), lambda x: F.lit("Undefined arrow end"))
-    known = F.col("__head").rlike(r"^((flowchart|graph) (TD|TB|LR|RL|BT)|sequenceDiagram)$")
+    known = F.col("__head").rlike(DIAGRAM_HEADS)
     return out.withColumn("errors", F.when(known, F.concat(wrong, again, loose)).otherwise(F.array(F.lit("Unknown header")))).select(*rows.columns, "errors")
 
 

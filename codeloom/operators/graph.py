@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.order import numbered
 from codeloom.sources.shared import kept
 
 
@@ -273,7 +274,7 @@ def processing_order(vertices: DataFrame, edges: DataFrame, files: DataFrame, ro
     """position, scc_id, component, layer, reachable, members of each component, callees first.
 
     Within a layer, what the roots (id) lead to comes first, then the component whose file has the highest rank, then the
-    least file and the id. Components are numbered by their least member; the global order has one row a component.
+    least file and the id. Components are numbered by their least member.
     """
     c = kept(layers(vertices, edges))
     ranks = pagerank(vertices, edges, rounds).select("id", F.round("rank", 9).alias("rank"))
@@ -285,9 +286,8 @@ def processing_order(vertices: DataFrame, edges: DataFrame, files: DataFrame, ro
     else:
         met = met.withColumn("near", F.lit(None).cast("boolean"))
     rows = met.groupBy("component", "layer").agg(F.max(F.coalesce("near", F.lit(False))).alias("reachable"), F.max("file_rank").alias("file_rank"), F.min("file").alias("path"), F.count("*").alias("members"))
-    numbered = rows.withColumn("scc_id", F.concat(F.lit("scc-"), F.row_number().over(Window.orderBy("component")) - 1))
-    order = Window.orderBy("layer", F.desc("reachable"), F.desc("file_rank"), "path", "scc_id")
-    return numbered.withColumn("position", F.row_number().over(order))
+    named = numbered(rows, ["component"], "__k").withColumn("scc_id", F.concat(F.lit("scc-"), F.col("__k") - 1)).drop("__k")
+    return numbered(named, ["layer", F.desc("reachable"), F.desc("file_rank"), "path", "scc_id"], "position")
 
 
 def with_metrics(symbols: DataFrame, ranks: DataFrame, components: DataFrame, order: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Notes that answers carry, and how claims start, break and refer.
 PARTIAL = "This answer is partial."
 ABSTENTION = "I can't answer this from the indexed source."
 _LEAD = r"^(?:The\s+)?`([^`]+)`\s+(?:function|method|decorator|class|calls|returns|is)"
@@ -247,25 +248,45 @@ def stripped(answers: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 
-_SEND, _MAIL = r"(?:send|sent|deliver|transmit)\w*", r"(?:e-?mails?|notifications?)"
-_GUARD = r"(?:un)?conditional\w*|guarded"
-#: Claims that are turned down by their words alone: name, pattern, and a pattern that lifts it.
+# Claims that are turned down by their words alone, as name, pattern, and a pattern that lifts it.
 CLAIM_REJECTIONS: list[tuple[str, str, str | None]] = [
-    ("only citations", r"(?i)^\s*(?:[-*]\s*)?(?:(?:citation|source|reference)s?\s*:)?\s*$", None),
-    ("unclear call guard", rf"(?i)\b(?:this|it|that)\b[^.\n]*\b(?:{_GUARD})\b[^.\n]*\bcall\b|\b(?:this|it|that)\b[^.\n]*\bcall\b[^.\n]*\b(?:{_GUARD})\b|\bwhich\b[^.\n]*\b(?:raise|throw)s?\b", None),
+    ("only citations", r"(?i)^(?:(?:[-*]\s*)?(?:citations?|sources?|references?)\s*:)?$", None),
+    (
+        "unclear call guard",
+        r"(?i)\b(?:This|It|That)\b[^.\n]{0,60}\b(?:conditional|unconditional|guarded)\b[^.\n]{0,60}\bcall\b"
+        r"|\b(?:This|It|That)\b[^.\n]{0,60}\bcall\b[^.\n]{0,60}\b(?:conditional|unconditional|guarded)\b"
+        r"|\bwhich\b[^.\n]{0,80}\b(?:raises?|throws?)\b",
+        None,
+    ),
     ("place cut off", r"(?i)\b(?:at|from|in)\s*(?:[.,;]|under\b)", None),
-    ("unnamed function", r"(?i)\bthe (?:function|method) (?:iterate|delegate|return|call|invoke|set|check|accept|read|write|retrieve|raise|save|processe)s\b", r"^Scope `"),
-    ("delivery as a fact", rf"(?i)\b{_SEND}\b[^.\n]*\b{_MAIL}\b|\b{_MAIL}\b[^.\n]*\b{_SEND}\b", r"(?i)\b(?:no|not|without|stub|simulat\w*|represent\w*|attempt\w*|unchanged)\b"),
-    ("assurance", r"(?i)\ball (?:analysis|claims?) (?:is|are) based\b|\bno (?:additional|further|missing) evidence\b|\b(?:no|without) side effects\b|\bnot (?:shown|supplied|provided)\b|\b(?:answer|explanation|analysis)\b[^.\n]*\b(?:incomplete|supported|evidence)\b", None),
-    ("placeholder", r"(?i)\bsee source\b|\btemplated from source\b|\bnone shown\b|\b(?:raises|side_effects)\s*:\s*(?:\[\]|none\b)", None),
-    ("no subject", r"(?i)^(?:(?:it|this|they|finally)\b|[-*]\s+\*\*)", None),
+    ("unnamed function", r"(?i)\bThe (?:function|method) (?:iterates|delegates|returns|calls|invokes|sets|checks|accepts|reads|writes|retrieves|raises|saves|processes)\b", r"^Scope `"),
+    (
+        "delivery as a fact",
+        r"(?i)\b(?:sends?|sending|sent|delivers?|delivered|delivering|delivery|transmits?|transmitted|transmitting)\b[^.\n]{0,80}\b(?:emails?|notifications?)\b"
+        r"|\b(?:emails?|notifications?)\b[^.\n]{0,80}\b(?:sends?|sending|sent|delivers?|delivered|delivering|delivery|transmits?|transmitted|transmitting)\b",
+        r"(?i)\b(?:no|not|without|stub|simulat\w*|represent\w*|attempt\w*|unchanged)\b",
+    ),
+    (
+        "assurance or placeholder",
+        r"(?i)\ball (?:analysis|claims?) (?:is|are) based\b|\bno (?:additional|further|missing) evidence\b|\b(?:safe but unnecessary|modern Python|forward references)\b"
+        r"|\bfrom\s+imports?\b|\b(?:raises?|throws?|side_effects)\s*:\s*(?:\[\]|none\b)|\b(?:See source|Templated from source|no model inference|None shown)\b"
+        r"|\b(?:no|without) side effects\b|\bOnly the supported portions\b|\b(?:answer|explanation|analysis)\b[^.\n]{0,80}\b(?:incomplete|supported|evidence)\b"
+        r"|\b(?:not shown|not supplied|not provided|missing evidence)\b|\b(?:was|has been) issued\b",
+        None,
+    ),
+    ("no subject", r"(?i)^(?:It\b|This\b|They\b|Finally\b|[-*]\s+\*\*)", None),
     ("diagram by a model", r"^```mermaid", None),
     ("language history", r"(?i)\bPEP\s*\d+|\bPython\s+(?:versions?\s+)?(?:prior|before|after|\d)", None),
-    ("concurrency", r"(?i)\bthread[- ]safe(?:ty)?\b|\bthread safety\b|\brace[- ]free\b|\batomicity\b", None),
-    ("outside guarantee", r"(?i)\bsecure(?:ly)?\b|\btiming attacks?\b|\bconstant[- ]time\b|\bruntime performance\b|\b(?:type checker|linter)s?\b|\brandom salt\b", None),
-    ("annotation lore", r"(?i)\b(?:annotation|type hint)s?\b[^.\n]*\b(?:evaluat|delay|postpon)\w*|\b(?:input|parameter)s?\b[^.\n]*\bimmutable\b", None),
-    ("no exceptions", r"(?i)\b(?:no|without|never|not) (?:rais(?:ed|ing|es?) )?exceptions\b", None),
-]
+    ("concurrency", r"(?i)\b(?:thread[- ]safe|thread safety|race[- ]free|atomicity)\b", None),
+    ("outside guarantee", r"(?i)\b(?:secure(?:ly)?|timing attacks?|constant[- ]time|runtime performance|type checkers?|linters?|random salt)\b", None),
+    (
+        "annotation lore",
+        r"(?i)\b(?:annotations?|type hints?)\b[^.\n]{0,140}\b(?:evaluat\w*|stored as strings|delayed|postpon\w*)\b"
+        r"|\b(?:evaluat\w*|stored as strings|delayed|postpon\w*)\b[^.\n]{0,140}\b(?:annotations?|type hints?)\b|\b(?:inputs?|parameters?)\b[^.\n]{0,80}\bimmutable\b",
+        None,
+    ),
+    ("no exceptions", r"(?i)\b(?:no|without|never|not) (?:raised |raising |raises? )?exceptions\b|\bno [^.\n]*raised exceptions\b", None),
+]
 _FACTS = "struct<names:array<string>,raised:array<string>,keys:array<string>,identity:boolean,copies:boolean>"
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from codeloom.operators import search
+from codeloom.operators.order import numbered
 
 
 def by_key(rows: DataFrame, key: str, values: list) -> DataFrame:
@@ -33,16 +34,8 @@ def pages(rows: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
 
 
 def page_numbers(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with page, the number of the keyset page (from 0) that each is on; counts by range, no global sort of rows."""
-    ranged = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
-    from codeloom.sources.shared import kept
-
-    ranged = kept(ranged)
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__n").alias("first"))
-    before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")
-    starts = counts.select("__part", (before - F.col("first")).alias("shift"))  # one row a partition
-    place = F.col("__n") + F.col("shift")
-    return ranged.join(F.broadcast(starts), "__part").withColumn("page", F.floor(place / size).cast("long")).select(*rows.columns, "page")
+    """rows with page, the number of the keyset page (from 0) that each is on."""
+    return numbered(rows, [key], "__place").withColumn("page", F.floor((F.col("__place") - 1) / size).cast("long")).drop("__place")
 
 
 def definitions(queries: DataFrame, symbols: DataFrame, k: int = 100, near: int = 5) -> DataFrame:

@@ -199,8 +199,8 @@ _CLAIMS = [
     ("The method returns rows.", ["unnamed function"]),
     ("`keep{k}` sends the email.", ["delivery as a fact", "delivery by a function that returns its input"]),
     ("`keep{k}` does not send any email.", []),
-    ("`keep{k}` has no side effects.", ["assurance"]),
-    ("raises: none", ["placeholder"]),
+    ("`keep{k}` has no side effects.", ["assurance or placeholder"]),
+    ("raises: none", ["assurance or placeholder"]),
     ("```mermaid\npie\n```", ["diagram by a model"]),
     ("`keep{k}` follows PEP 8.", ["language history"]),
     ("`keep{k}` is thread-safe.", ["concurrency"]),

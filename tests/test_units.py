@@ -398,3 +398,13 @@ def test_strong_components_without_edges(spark):
     edges = spark.createDataFrame([(1, 1, 0.9), (1, None, 0.0)], "caller long, callee long, confidence double")
     assert rows(graph.components_strong(spark.range(3), edges)) == Counter({(0, 0): 1, (1, 1): 1, (2, 2): 1})
     assert graph.components_strong(spark.range(0), edges).count() == 0
+
+
+def test_global_numbers_over_many_ranges(spark):
+    from codeloom.operators.order import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("t")).repartition(7)
+    got = [(r["k"], r["n"]) for r in numbered(df, ["t", F.desc("k")], "n").collect()]
+    want = sorted(((r["k"], r["t"]) for r in df.collect()), key=lambda x: (x[1], -x[0]))
+    assert sorted(got, key=lambda x: x[1]) == [(k, i) for i, (k, _) in enumerate(want, 1)]
+    assert numbered(df.limit(0), ["k"], "n").count() == 0
