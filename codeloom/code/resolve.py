@@ -92,7 +92,7 @@ def classes_of(rows: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataF
     """key, class_id of type names (key, file, name): as the file knows the name, or else by name anywhere."""
     kinds = symbols.filter("kind = 'class'").select(F.col("id").alias("target"))
     here = defined(rows, symbols, imports)
-    rest = rows.select("key", "name").join(here.select("key").distinct(), "key", "left_anti").join(by_name(symbols), "name").select("key", "target")
+    rest = rows.select("key", "name").join(here.select("key").distinct(), "key", "left_anti").join(by_name(symbols.filter("kind = 'class'")), "name").select("key", "target")
     return here.unionByName(rest).distinct().join(kinds, "target").select("key", F.col("target").alias("class_id"))
 
 
@@ -154,7 +154,9 @@ def _attribute_types(symbols: DataFrame, above: DataFrame) -> DataFrame:
 
 
 def candidates(parsed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sites, candidates (site, rung, target), methods): every rung's finds; symbols as symbol_table gives them."""
+    """(sites, candidates (site, rung, target), methods): what the first rung that has any finds for each site; symbols as
+    symbol_table gives them. A rung that looks a name up in the whole project is asked only for sites that are still open,
+    so that a name of very many symbols doesn't meet sites that are settled."""
     imports = kept(import_map(parsed))
     bases = kept(class_bases(symbols, imports))
     above = kept(ancestors(symbols, bases))
@@ -165,34 +167,40 @@ def candidates(parsed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFr
     on_self = F.col("head").isin("self", "cls") & one
     found: dict[str, DataFrame] = {}
 
+    def left(rows: DataFrame, *rungs: str) -> DataFrame:
+        return rows.join(reduce(DataFrame.unionByName, (found[k].select("site") for k in rungs)).distinct(), "site", "left_anti")
+
     asked = _through(sites.select(F.col("site").alias("key"), "file", F.col("expr").alias("name")), imports)
-    found["import"] = defined(asked, symbols, imports).select(F.col("key").alias("site"), "target")
+    found["import"] = kept(defined(asked, symbols, imports).select(F.col("key").alias("site"), "target"))
+    still = left(sites, "import")
 
-    plain = sites.filter("dots = 0")
     scope = F.split("qualname", r"\.")
     names = F.transform(F.sequence(F.lit(0), F.size(scope)), lambda d: F.struct(d.alias("depth"), F.concat_ws(".", F.slice(scope, 1, d), F.col("head")).alias("name")))
     own = symbols.select(F.col("file_path").alias("file"), F.col("qualname").alias("name"), F.col("id").alias("target"))
-    scoped = plain.select("site", "file", F.explode(names).alias("n")).select("site", "file", "n.*").join(own, ["file", "name"])
-    found["local"] = scoped.withColumn("r", F.rank().over(Window.partitionBy("site").orderBy(F.desc("depth")))).filter("r = 1").select("site", "target")
+    scoped = still.filter("dots = 0").select("site", "file", F.explode(names).alias("n")).select("site", "file", "n.*").join(own, ["file", "name"])
+    found["local"] = kept(scoped.withColumn("r", F.rank().over(Window.partitionBy("site").orderBy(F.desc("depth")))).filter("r = 1").select("site", "target"))
 
     of_base = bases.select("class_id", F.col("base")).join(meaning.select(F.col("class_id").alias("base"), "method", "target"), "base")
-    found["super"] = sites.filter(on_super).join(of_base, ["class_id", "method"]).select("site", "target")
-    found["self"] = sites.filter(on_self).join(meaning, ["class_id", "method"]).select("site", "target")
+    found["super"] = kept(still.filter(on_super).join(of_base, ["class_id", "method"]).select("site", "target"))
+    found["self"] = kept(still.filter(on_self).join(meaning, ["class_id", "method"]).select("site", "target"))
+    still = kept(left(still, "local", "super", "self"))
 
     named = by_name(symbols)
     classes = symbols.filter("kind = 'class'").select(F.col("id").alias("target"))
-    found["ctor"] = plain.join(named.join(classes, "target"), plain["head"] == named["name"]).select("site", "target")
+    plain = still.filter("dots = 0")
+    found["ctor"] = kept(plain.join(named.join(classes, "target"), plain["head"] == named["name"]).select("site", "target"))
 
     typed = symbols.select(F.col("id").alias("caller"), "local_types", "param_types")
-    variable = sites.filter(one & ~on_super & ~on_self).join(typed, "caller").select("site", "file", "method", F.coalesce(F.col("local_types")[F.col("head")], F.col("param_types")[F.col("head")]).alias("name"))
-    attributes = sites.filter(F.col("head").isin("self", "cls") & (F.col("dots") == 2)).withColumn("attr", F.element_at(F.split("expr", r"\."), 2))
+    variable = still.filter(one & ~on_super & ~on_self).join(typed, "caller").select("site", "file", "method", F.coalesce(F.col("local_types")[F.col("head")], F.col("param_types")[F.col("head")]).alias("name"))
+    attributes = still.filter(F.col("head").isin("self", "cls") & (F.col("dots") == 2)).withColumn("attr", F.element_at(F.split("expr", r"\."), 2))
     attributes = attributes.join(_attribute_types(symbols, above), ["class_id", "attr"]).select("site", "file", "method", "name")
     wanted = variable.filter("name IS NOT NULL AND name <> ''").unionByName(attributes)
     keyed = wanted.withColumn("key", F.struct("site", "file", "name", "method"))
     of_type = classes_of(keyed, symbols, imports).select("key.site", "key.method", "class_id")
-    found["typed"] = of_type.join(meaning, ["class_id", "method"]).select("site", "target")
+    found["typed"] = kept(of_type.join(meaning, ["class_id", "method"]).select("site", "target"))
 
-    found["name-unique"] = sites.filter(~on_super & ~on_self).join(named, sites["method"] == named["name"]).select("site", "target")
+    still = left(still, "ctor", "typed").filter(~on_super & ~on_self)
+    found["name-unique"] = still.join(named, still["method"] == named["name"]).select("site", "target")
     rungs = [df.select("site", F.lit(k).alias("rung"), "target") for k, df in enumerate(found.values())]
     return sites, kept(reduce(DataFrame.unionByName, rungs).distinct()), meaning
 
@@ -204,13 +212,12 @@ def call_edges(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
     a site are one edge; a site that nothing resolves has one edge without a callee.
     """
     sites, found, meaning = candidates(parsed, symbols)
-    first = found.withColumn("least", F.min("rung").over(Window.partitionBy("site"))).filter("rung = least")
     many = F.count("*").over(Window.partitionBy("site")) > 1
     names, sure = F.array(*map(F.lit, CONFIDENCE)), F.array(*map(F.lit, CONFIDENCE.values()))
     at = F.col("rung") + 1
-    picked = first.withColumn("resolution", F.when(many, "ambiguous").otherwise(F.element_at(names, at))).withColumn("confidence", F.when(many, AMBIGUOUS).otherwise(F.element_at(sure, at)))
+    picked = found.withColumn("resolution", F.when(many, "ambiguous").otherwise(F.element_at(names, at))).withColumn("confidence", F.when(many, AMBIGUOUS).otherwise(F.element_at(sure, at)))
     picked = picked.join(symbols.select(F.col("id").alias("target"), F.col("kind").alias("target_kind")), "target")
-    out = sites.select("site", "caller", F.col("expr").alias("callee_expr"), "line", "kind", "control_ctx").join(picked.drop("rung", "least"), "site", "left")
+    out = sites.select("site", "caller", F.col("expr").alias("callee_expr"), "line", "kind", "control_ctx").join(picked.drop("rung"), "site", "left")
     makes = (F.col("target_kind") == "class") & (F.col("kind") != "decorator")
     direct = out.withColumn("kind", F.when(makes, "constructor").otherwise(F.col("kind")))
     init = meaning.filter("method = '__init__'").select(F.col("class_id").alias("target"), F.col("target").alias("init"))

@@ -179,7 +179,7 @@ def _code(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_symbols_sql()} SELECT * FROM code_symbols")
 def code_symbols(spark, sf_dir):
-    found = extract.trivial(extract.symbol_table(_parsed(spark, sf_dir)))
+    found = extract.trivial(_code(spark, sf_dir)[1])
     return found.select("id", "file_path", "kind", "qualname", "start_line", "end_line", "parent_id", "is_trivial")
 
 
@@ -211,7 +211,7 @@ UNION ALL SELECT 'firms/__main__.py', 'main', 'firms/s0.py', 'main'"""
 
 @query(_IMPORTS)
 def import_maps(spark, sf_dir):
-    return resolve.import_map(_parsed(spark, sf_dir)).select("file_path", "alias", "target", "exported")
+    return resolve.import_map(kept(_parsed(spark, sf_dir))).select("file_path", "alias", "target", "exported")
 
 
 @query("SELECT 'firms/s' || s_suppkey || '.py' AS file, 'Region' || n_regionkey AS name, 'geo/region' || n_regionkey || '.py::Region' || n_regionkey AS target FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'firms/s' || s_suppkey || '.py', 'home.Nation' || s_nationkey || '.tax', 'geo/nation' || s_nationkey || '.py::Nation' || s_nationkey || '.tax' FROM supplier")
@@ -279,7 +279,7 @@ UNION ALL SELECT * FROM (VALUES ('rate', 'ambiguous', NULL), ('elper1', 'not fou
 @query(_REFS)
 def strict_references(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    symbols = extract.symbol_table(_parsed(spark, sf_dir))
+    _, symbols = _code(spark, sf_dir)
     refs = n.select(F.expr("'geo.nation' || n_nationkey || '.Nation' || n_nationkey || '.tax'").alias("ref")).union(n.select(F.expr("'helper' || n_nationkey"))).union(r.select(F.expr("'Region' || r_regionkey || '.rate'")))
     refs = refs.union(spark.createDataFrame([("rate",), ("elper1",), ("firms/s0.py::main",), ("main",)], "ref string"))
     return resolve.strict_references(refs, symbols)
