@@ -1,8 +1,16 @@
 """What steps make and hold as tables grow: each case fails if a step grows faster than its input, or in one task."""
 
+import functools
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.code import extract, resolve
+from codeloom.operators import graph, walks
+
+_PIECES = walks.pieces
 
 FILE = "from a{k} import B{k}\n\n\nclass A{i}:\n    def run(self):\n        pass\n\n\ndef go():\n    x = A{i}()\n    x.run()\n    lost()\n"
 
@@ -33,3 +41,60 @@ def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
     parsed = extract.parse_files(_tree(spark, 1200).coalesce(1))
     sizes = [r["count"] for r in parsed.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 1203 and len(sizes) > 8 and max(sizes) < 150
+
+
+def _brute(near, seed, depth):
+    """node -> [least depth, number] of the simple walks from a seed."""
+    got, open_ways = {}, [[seed]]
+    for d in range(1, depth + 1):
+        open_ways = [[*w, b] for w in open_ways for b in near.get(w[-1], ()) if d == 1 or b not in w]
+        for w in open_ways:
+            got.setdefault(w[-1], [d, 0])[1] += 1
+    return got
+
+
+def _lists(n, rows):
+    a, b = (np.array(x, np.int64) for x in zip(*rows))
+    return walks.Lists(n, a, b, np.arange(len(a)))
+
+
+def test_walks_in_pieces_are_all_walks(monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(30), rng.randrange(30)) for _ in range(140)] + [(4, 4), (4, 4), (5, 5)]
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, []).append(b)
+    want = {(s, v, *x) for s in range(30) for v, x in _brute(near, s, 3).items()}
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(walks, "pieces", functools.partial(_PIECES, most=most))
+        got = [tuple(map(int, r)) for part in walks._reached(np.arange(30), _lists(30, rows), 3) for r in zip(*part)]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_shortest_paths_in_small_groups_are_the_least(monkeypatch):
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(110)})
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, []).append(b)
+    want = {}
+    for s in range(40):
+        ways = [[s]]
+        for _ in range(5):
+            ways = sorted([*w, b] for w in ways for b in near.get(w[-1], ()) if b not in w)
+            for w in ways:
+                want.setdefault((s, w[-1]), w)
+    ends = np.array([(a, b) for a in range(40) for b in range(40) if a != b])
+    for most in (1, 40, 10**6):
+        monkeypatch.setattr(walks, "ROWS", most)
+        found = walks._shortest(ends[:, 0], ends[:, 1], _lists(40, rows), _lists(40, [(b, a) for a, b in rows]), 5)
+        got = {tuple(ends[p]): [int(c[i]) for c in path] for pairs, path in found for i, p in enumerate(pairs)}
+        assert got == {k: v for k, v in want.items() if k[0] != k[1]}
+
+
+@pytest.mark.parametrize("make", [lambda v, e: graph.reached(v, e, 3), lambda v, e: graph.trace(v, e, 3, 0.0), lambda v, e: graph.impact_groups(v, e, v.withColumn("file", F.lit("f")), 2)])
+def test_rows_of_walks_are_never_shuffled(spark, make):
+    e = spark.createDataFrame([(1, 2, 1, 0.9), (2, 3, 1, 0.9), (900, 1, 1, 0.9)], "caller long, callee long, line int, confidence double")
+    plan = make(spark.createDataFrame([(1,), (2,), (3,), (900,)], "id long"), e)._jdf.queryExecution().sparkPlan().toString()
+    above, made, _ = plan.partition("MapInArrow")
+    assert made and "Exchange" not in above and "Aggregate" not in above and "Join" not in above
