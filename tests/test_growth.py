@@ -2,13 +2,14 @@
 
 import functools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.code import extract, resolve
-from codeloom.operators import graph, walks
+from codeloom.operators import graph, search, walks
 
 _PIECES = walks.pieces
 
@@ -98,3 +99,23 @@ def test_rows_of_walks_are_never_shuffled(spark, make):
     plan = make(spark.createDataFrame([(1,), (2,), (3,), (900,)], "id long"), e)._jdf.queryExecution().sparkPlan().toString()
     above, made, _ = plan.partition("MapInArrow")
     assert made and "Exchange" not in above and "Aggregate" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_distances_are_held_by_tiles(metric):
+    rng = np.random.default_rng(1)
+    mat, v = rng.normal(size=(2048, 16)), rng.normal(size=(20_000, 16))
+    v[5000:9000] = v[17]  # a large group of equal vectors
+    mat[3] = v[17]
+    v[2] = np.nan
+    ids, own = np.arange(2048) * 3, rng.permutation(20_000)
+    tracemalloc.start()
+    got = search._nearest(ids, mat, own, v, 5, metric)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 150e6  # all distances are 328 MB
+    for q in (0, 3, 1000, 2047):
+        d = np.sqrt(((v - mat[q]) ** 2).sum(1)) if metric == "l2" else 1 - (v @ mat[q]) / (np.sqrt((v * v).sum(1)) * np.sqrt((mat[q] ** 2).sum()))
+        want = sorted((x if x == x else 9e9, int(i)) for x, i in zip(np.round(d, 6), own))[:5]
+        mine = got[0] == 3 * q
+        assert [(float(x), int(i)) for x, i in zip(got[2][mine], got[1][mine])] == [(float(x), i) for x, i in want]
