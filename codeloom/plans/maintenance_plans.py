@@ -208,7 +208,7 @@ def answer_pipeline(spark, sf_dir):
     cache = hashed.filter("query_id % 5 = 0").select("query_hash", F.lit("kept").alias("answer"), F.lit("v1").alias("index_version"), F.lit(True).alias("verified"), F.lit(1).alias("n_evidence"))
     known = maintenance.cached_answers(hashed.select("query_hash"), cache, cache.select(F.col("query_hash").alias("owner"), F.lit(True).alias("is_current")), "v1")
     asked = hashed.join(known.select("query_hash"), "query_hash", "left_anti")
-    found = search.lexical_topk(asked.select("query_id", "text"), d, 5).join(d, "id")
+    found = d.join(search.small(kept(search.lexical_topk(asked.select("query_id", "text"), d, 5))), "id")  # texts stay where they are
     lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", T.tokens_by_ratio(F.col("text")).alias("size")))).alias("r"))  # five of each question
     packed = kept(lists.select("query_id", F.transform(budget.rendered(F.transform("r", lambda x: x["size"]), 1500, 8, 8), lambda i: F.col("r")[i]["id"]).alias("ids")))
     first = F.get("ids", F.lit(0))

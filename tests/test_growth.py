@@ -3,6 +3,7 @@
 import functools
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,3 +120,40 @@ def test_distances_are_held_by_tiles(metric):
         want = sorted((x if x == x else 9e9, int(i)) for x, i in zip(np.round(d, 6), own))[:5]
         mine = got[0] == 3 * q
         assert [(float(x), int(i)) for x, i in zip(got[2][mine], got[1][mine])] == [(float(x), i) for x, i in want]
+
+
+def test_one_block_scores_as_postings_do(spark, small, monkeypatch):
+    d = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    d = d.unionByName(spark.createDataFrame([(-5, None), (-6, ""), (-7, "the " * 1500 + "value")], "id long, text string"))
+    q = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    q = q.unionByName(q.select((F.col("query_id") + 1000).alias("query_id"), "text")).unionByName(spark.createDataFrame([(-1, "value"), (-2, None), (-3, "zzz none")], "query_id long, text string"))
+    block = search.lexical_topk(q, d, 7)
+    assert "MapInArrow" in block._jdf.queryExecution().sparkPlan().toString()
+    got = Counter(tuple(r) for r in block.collect())
+    assert got == Counter(tuple(r) for r in search.lexical_topk(q, None, 7, search.postings(d, "text")).collect())
+    twice = d.unionByName(d.filter("id = -7"))  # a unit in two rows is one unit
+    assert Counter(tuple(r) for r in search.lexical_topk(q, twice, 7).collect()) == Counter(tuple(r) for r in search.lexical_topk(q, None, 7, search.postings(twice, "text")).collect())
+
+
+@pytest.mark.parametrize("kind", ["text", "name"])
+def test_equal_queries_are_asked_once_and_not_broadcast(spark, kind):
+    q = spark.range(4000).select(F.col("id").alias("query_id"), F.concat(F.lit("red bolt "), F.col("id") % 3).alias(kind))
+    u = spark.createDataFrame([(1, "red bolt 1"), (2, "blue ring"), (3, "red nut 2")], f"id long, {kind} string")
+    df = search.lexical_topk(q, None, 2, search.postings(u, "text")) if kind == "text" else search.trigram_topk(q, u, 2)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    got = df.groupBy("query_id").count().collect()
+    assert len(got) == 4000 and len({tuple(r)[1:] for r in df.join(q, "query_id").filter("query_id % 3 = 1").select("query_id", "id", "score", "rank").collect()}) == (2 if kind == "text" else 1)
+
+
+def test_answers_leave_texts_where_they_are(spark, small):
+    from codeloom.plans import every
+
+    seen = []
+    listener = search.small
+    try:
+        search.small = lambda df, rows=search.SMALL_ROWS: seen.append(df.columns) or listener(df, rows)
+        assert every.QUERIES["answer_pipeline"](spark, small).count() > 0
+    finally:
+        search.small = listener
+    assert ["query_id", "id", "score", "rank"] in seen
