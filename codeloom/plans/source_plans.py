@@ -141,5 +141,7 @@ def stream_file_sync(spark, sf_dir):
     first = d.filter("source <> 'src1'").select("path", F.sha2("text", 256).alias("sha256"), "language", F.lit(1).alias("scanned_at"))
     second = d.select("path", F.sha2(F.when(F.col("language") == "fr", F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"), "language", F.lit(2).alias("scanned_at"))
     for scan in (first, second):
-        scan.coalesce(1).write.mode("append").parquet(f"{out}/in")
-    return mb.synced_files(mb.table_stream(spark, f"{out}/in", "*.parquet"), f"{out}/files", f"{out}/state")
+        # each scan is what is new when the stream goes on, so it is one batch of as many files as it has tasks
+        scan.write.mode("append").parquet(f"{out}/in")
+        files = mb.synced_files(mb.table_stream(spark, f"{out}/in", "*.parquet", 1_000_000), f"{out}/files", f"{out}/state")
+    return files
