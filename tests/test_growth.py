@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.code import extract, resolve
-from codeloom.operators import graph, search, walks
+from codeloom.operators import graph, retrieval, search, walks
+from codeloom.sources import shared
 
 _PIECES = walks.pieces
 
@@ -157,3 +158,50 @@ def test_answers_leave_texts_where_they_are(spark, small):
     finally:
         search.small = listener
     assert ["query_id", "id", "score", "rank"] in seen
+
+
+def test_scope_takes_a_modules_first_and_what_was_found(spark):
+    rng = random.Random(7)
+    symbols = [(i, f"m/b{i % 3}.py", rng.randrange(9)) for i in range(60)]
+    found = {(q, rng.randrange(60)): rng.choice([-0.5, 0.0, 0.25, 1.0]) for q in range(20) for _ in range(8)}
+    asked = {q: f"m/b{q % 5}.py" if q % 2 else None for q in range(20)}
+    want = set()
+    for q, file in asked.items():
+        rows = [(-found.get((q, i), 0.0), line, i) for i, f, line in symbols if f == file] or [(-s, 0, i) for (p, i), s in found.items() if p == q]
+        want |= {(q, x[2], n) for n, x in enumerate(sorted(rows)[:5], 1)}
+    questions = spark.createDataFrame([(q, f"what is in {f[:-3].replace('/', '.')}?" if f else "what?") for q, f in asked.items()], "query_id long, text string")
+    df = retrieval.scoped(questions, spark.createDataFrame([(*k, s) for k, s in found.items()], "query_id long, id long, score double"), spark.createDataFrame(symbols, "id long, file_path string, start_line int"), 5)
+    assert {tuple(r) for r in df.collect()} == want
+    assert "windowspecdefinition(file_path" in df._jdf.queryExecution().sparkPlan().toString()  # a module isn't met whole
+
+
+def test_lists_are_not_broadcast_by_an_estimate(spark):
+    lists = spark.range(50).select(F.col("id").alias("query_id"), F.posexplode(F.array("id", F.col("id") + 1)).alias("at", "id")).select("query_id", "id", (F.col("at") + 1).alias("rank"))
+    plan = retrieval.expanded(lists, spark.createDataFrame([(1, 2, 0.9)], "caller long, callee long, confidence double"))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_ranks_and_fans_make_the_graph_once(spark, small):
+    from codeloom.plans import every
+
+    assert "l_orderkey" not in every.QUERIES["hubs"](spark, small)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_calls_are_dealt_by_their_number(spark, small, monkeypatch):
+    from codeloom.plans import catalog
+
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    assert catalog.ranked_calls(spark, small).rdd.getNumPartitions() == -(-rows // 100)
+
+
+def test_a_scan_is_read_by_many_tasks(spark, small, tmp_path, monkeypatch):
+    from codeloom.plans import every, source_plans
+
+    spark.read.parquet(f"{small}/documents.parquet").repartition(5).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    monkeypatch.setattr(source_plans, "scratch", lambda *_: f"{tmp_path}/scans")
+    monkeypatch.setattr(source_plans, "table", lambda spark, at, name: spark.read.option("maxPartitionBytes", 1).parquet(f"{at}/{name}.parquet").repartition(5, "doc_id"))
+    got = Counter(tuple(r) for r in every.QUERIES["stream_file_sync"](spark, f"{tmp_path}/sf").collect())
+    assert len(list((tmp_path / "scans/in").glob("*.parquet"))) > 2
+    monkeypatch.undo()
+    assert got == Counter(tuple(r) for r in every.QUERIES["stream_file_sync"](spark, small).collect())
